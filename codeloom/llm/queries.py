@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, exact_dedup, mixing, shard, topk
+from codeloom.llm import bpe, exact_dedup, kneser_ney, mixing, shard, simhash, topk
 from codeloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +61,10 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(content) AS text_s
 """
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -93,8 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op2_histogram_shards": op2_histogram_shards,
+        "op3_quality_classifier": op3_quality_classifier,
         "op7_byte_level_bpe": op7_byte_level_bpe,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
 
