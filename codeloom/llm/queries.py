@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, kneser_ney, mixing, shard, simhash, topk
+from codeloom.llm import bpe, exact_dedup, kneser_ney, mixing, revisit, shard, simhash, topk
 from codeloom.llm.common import table
 
 
@@ -37,6 +38,34 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve(revisit.captures_of(table(spark, sf_dir, "pages")))
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select(F.col("record_id").alias("revisit_id"), "canonical_url", "response_id", "response_digest", "status", flat.alias("headers"))
+
+
+OP6_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages
+), parted AS (
+  SELECT page_id, digest, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS params
+  FROM cut
+), named AS (
+  SELECT page_id, digest, place || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url FROM parted
+), found AS (
+  SELECT r.page_id * 2 + 1 AS revisit_id, r.canonical_url, r.digest AS own, f.page_id AS of_page, f.digest AS of_digest,
+    row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC NULLS LAST) AS place
+  FROM named r LEFT JOIN named f ON f.canonical_url = r.canonical_url AND f.page_id * 2 < r.page_id * 2 + {revisit.LATER}
+)
+SELECT revisit_id, canonical_url, of_page * 2 AS response_id, of_digest AS response_digest,
+  CASE WHEN of_page IS NULL THEN 'no_response' WHEN own = of_digest THEN 'resolved' ELSE 'mismatch' END AS status,
+  CASE WHEN own = of_digest THEN 'cache-control=no-cache;content-type=text/html;etag=W/' || own || ';last-modified=day ' || of_page END AS headers
+FROM found WHERE place = 1
+"""
+
+
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_topk": op1_exact_topk,
         "op2_histogram_shards": op2_histogram_shards,
         "op3_quality_classifier": op3_quality_classifier,
+        "op6_revisit_resolution": op6_revisit_resolution,
         "op7_byte_level_bpe": op7_byte_level_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -110,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op6_revisit_resolution": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_mix_sources": OP10_SQL}
