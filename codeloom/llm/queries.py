@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, kneser_ney, mixing, revisit, shard, simhash, topk
+from codeloom.llm import bpe, exact_dedup, kneser_ney, line_dedup, mixing, pii, revisit, shard, simhash, topk
 from codeloom.llm.common import table
 
 
@@ -38,6 +38,19 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: A stated key, so that reruns agree; a real one is secret.
+PII_KEY = "codeloom"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, PII_KEY)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisit.resolve(revisit.captures_of(table(spark, sf_dir, "pages")))
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -131,6 +144,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_topk": op1_exact_topk,
         "op2_histogram_shards": op2_histogram_shards,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_pii_surrogates": op4_pii_surrogates,
+        "op5_line_dedup": op5_line_dedup,
         "op6_revisit_resolution": op6_revisit_resolution,
         "op7_byte_level_bpe": op7_byte_level_bpe,
         "op8_exact_dedup": op8_exact_dedup,
