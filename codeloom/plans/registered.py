@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from codeloom.plans import graph_queries, search_queries  # noqa: F401
+from codeloom.plans import code_queries, file_queries, graph_queries, search_queries  # noqa: F401
