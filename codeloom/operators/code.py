@@ -155,11 +155,11 @@ def parse_markdown(file: str, text: str) -> tuple[list, list, list]:
 _MODS = r"(?:(?:pub(?:\([^)]*\))?|public|private|protected|internal|static|final|abstract|sealed|override|virtual|async|export|default|declare|open|inline|const|unsafe|extern(?:\s*\"[^\"]*\")?|partial|readonly|suspend|data|case|implicit|lazy|given|companion|inner|tailrec|operator|infix|explicit|constexpr|noexcept|synchronized|native|transient|volatile|new|ref|fileprivate|abstract)\s+)*"
 _HEAD = {
     "type": re.compile(rf"^\s*{_MODS}(class|struct|interface|trait|enum(?:\s+class)?|record|object|union|protocol|module|defmodule|mod|namespace|impl|type)\b\s*(?:<[^>]*>\s*)?([A-Za-z_$][\w$.:]*)?(.*)$", re.S),
-    "fn": re.compile(rf"^\s*{_MODS}(fn|func|function|fun|def|defp|defmacro|macro_rules!)\s*(?:\([^)]*\)\s*)?(?:<[^>]*>\s*)?([A-Za-z_$][\w$.?!]*)(.*)$", re.S),
+    "fn": re.compile(rf"^\s*{_MODS}(fn|func|function|fun|def|defp|defmacro|macro_rules!)(?![\w])\s*(?:\([^)]*\)\s*)?(?:<[^>]*>\s*)?([A-Za-z_$][\w$.?!]*)(.*)$", re.S),
     "method": re.compile(rf"^\s*{_MODS}(?:[\w$<>\[\],.?*&:]+\s+)*?~?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*\(([^;]*)\)\s*(?:const|override|noexcept|throws\s+[\w., ]+|->\s*[^{{]+|:\s*[^{{]+|=>\s*[^{{]*|where\s+[^{{]+)*\s*$", re.S),
     "value": re.compile(rf"^\s*{_MODS}(let|var|val|const|static|field)\s+(?:mut\s+)?([A-Za-z_$][\w$]*)(.*)$", re.S),
 }
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "else", "match", "when", "do", "try", "synchronized", "using", "lock", "foreach", "loop", "select", "defer", "go", "new", "throw", "with"}
+_NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "else", "match", "when", "do", "try", "synchronized", "using", "lock", "foreach", "loop", "new", "throw", "with", "func", "fn", "function", "fun"}
 _KIND = {"fn": "function", "func": "function", "fun": "function", "def": "function", "defp": "function", "defmacro": "macro", "macro_rules!": "macro", "mod": "module", "namespace": "module", "defmodule": "module", "protocol": "interface", "enum class": "enum", "type": "alias"}
 _CALL = re.compile(r"(?:([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)(?:\.|::|->))?\b(new\s+)?([A-Za-z_$][\w$]*)(!?)\s*(?:<[\w, ]*>)?\(")
 _IMPORTS = (
@@ -175,6 +175,21 @@ def blanked(text: str, hash_comments: bool = False) -> str:
     return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+_GOES_ON = re.compile(r"^\s*(?:extends|implements|where|with|throws|[:,)\].&|>?]|->|=>)")
+
+
+def _last_statement(head: str) -> int:
+    """Where in the text before a brace the statement begins that the brace belongs to: its last line, and those before it that brackets or a continuation tie to it."""
+    at, depth = len(head.rstrip()), 0
+    while True:
+        start = head.rfind("\n", 0, at) + 1
+        line = head[start:at]
+        depth += sum(line.count(c) for c in ")]") - sum(line.count(c) for c in "([")
+        if start == 0 or (depth <= 0 and line.strip() and not _GOES_ON.match(line) and not head[:start].rstrip().endswith((",", "=>", "=", "(", "->"))):
+            return start
+        at = start - 1
+
+
 def parse_braces(file: str, text: str, lang: str) -> tuple[list, list, list]:
     """Declarations, calls and imports of a language of braces, by the text before each opening brace or semicolon."""
     code = blanked(text)
@@ -191,6 +206,8 @@ def parse_braces(file: str, text: str, lang: str) -> tuple[list, list, list]:
 
     def declare(head: str, at: int, body: bool):
         path, trail, outer = place()
+        skip = _last_statement(head)
+        head, at = head[skip:], at + skip
         head = re.sub(r"^(\s*(?:#!?\[[^\]]*\]|@\w+(?:\([^)]*\))?|\[[^\]]*\]))+", lambda m: re.sub(r"[^\n]", " ", m[0]), head)
         if not head.strip():
             return None

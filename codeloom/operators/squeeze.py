@@ -137,11 +137,11 @@ def _templates(lines: list[str], legend: list) -> list[str]:
 def squeeze_text(text: str, lossy: bool = True) -> tuple[str, list[tuple[str, str]]]:
     """Body and legend. Without lossy stages, expand() gives the text back exactly."""
     legend: list[tuple[str, str]] = []
-    if re.search(r"#[0-9A-Za-z]+#|![0-9A-Za-z]+!|(?m:^&\d+:)", text):
-        return text, []  # would be mistaken for tags
+    raw = text
     if lossy:
         for pattern, put in ZEROS:
             text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), text)
+    text_before = text
     minutes = Counter(re.findall(MINUTE, text))
     if minutes:
         minute = min(minutes, key=lambda m: (-minutes[m], m))
@@ -155,6 +155,8 @@ def squeeze_text(text: str, lossy: bool = True) -> tuple[str, list[tuple[str, st
     lines = _merge(lines, legend, lambda n: f"#{_base62(nxt + n)}#", MAX_GRAM, floor, None)
     lines = _merge(lines, legend, lambda n: f"!{_base62(n + 1)}!", MAX_META, floor, "#")
     flat = _templates(["".join(x) for x in lines], legend)
+    if expand_text("\n".join(flat), legend) != text_before:
+        return raw, []  # marks of the text's own would be read as tags
     if lossy:
         out: list[tuple[str, str, int]] = []
         for line in flat:
@@ -180,10 +182,18 @@ def expand_text(body: str, legend: list[tuple[str, str]]) -> str:
             head, tail = _cut(templates[m[1]])
             line = head + m[2] + tail
         lines.append(line)
-    body = "\n".join(lines)
-    for name, value in reversed([x for x in legend if not x[0].startswith("&")]):
-        body = body.replace(name, value)
-    return body
+    place = {name: n for n, (name, _) in enumerate(legend)}
+
+    def tags(part: str, before: int) -> str:
+        """part with the tags replaced that the legend has before a place; a value is made of earlier ones alone."""
+
+        def one(m: re.Match) -> str:
+            n = place.get(m[0], before)
+            return m[0] if n >= before else legend[n][1] if m[0] == STAMP else tags(legend[n][1], n)
+
+        return re.sub(r"#[0-9A-Za-z]+#|![0-9A-Za-z]+!", one, part)
+
+    return tags("\n".join(lines), len(legend))
 
 
 def _cut(template: str) -> tuple[str, str]:
