@@ -212,3 +212,115 @@ def pattern_search(spark, sf_dir):
 @query("test_paths_in_scan")
 def test_paths_in_scan(spark, sf_dir):
     return paths(spark, sf_dir).filter(T.is_test_path(F.col("path")) & ~T.is_denied(F.col("path"))).select("id", "path")
+
+
+def _python(spark, sf_dir):
+    return sources(spark, sf_dir).filter("language = 'python'")
+
+
+_N = "(SELECT n_nationkey AS n FROM nation)"
+
+
+@query("import_graph", f"SELECT 'python/mod' || n || '.py' AS src, 'python/mod' || (n + 1) % 25 || '.py' AS dst FROM {_N} UNION ALL SELECT 'rust/mod' || n || '.rs', 'rust/mod' || (n + 1) % 25 || '.rs' FROM {_N}")
+def import_graph(spark, sf_dir):
+    files = sources(spark, sf_dir).filter("language IN ('python', 'rust')")
+    parts = []
+    for language in ("python", "rust"):
+        own = files.filter(F.col("language") == language)
+        parts.append(resolve.resolve_imports(code.imports(own), own)[0].select("src", "dst"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("import_cycles", f"SELECT count(*) AS size, array_to_string(list_sort(list('python/mod' || n || '.py')), ',') AS members FROM {_N}")
+def import_cycles(spark, sf_dir):
+    from codeloom.operators import graph
+
+    files = _python(spark, sf_dir)
+    edges = resolve.resolve_imports(code.imports(files), files)[0]
+    return graph.cycles(edges).select("size", F.array_join("members", ",").alias("members"))
+
+
+@query("surface_closure", f"SELECT 'Shape' || n AS exposed, 'python/mod' || n || '.py' AS module, CAST(0 AS INTEGER) AS depth FROM {_N} WHERE n = 3 UNION ALL SELECT 'run' || n, 'python/mod' || n || '.py', 0 FROM {_N} WHERE n = 3 UNION ALL SELECT 'run' || n, 'python/mod' || n || '.py', 1 FROM {_N} WHERE n = 4")
+def surface_closure(spark, sf_dir):
+    from codeloom.operators import surface
+
+    files = _python(spark, sf_dir)
+    exports = surface.python_exports(code.declarations(files), code.imports(files), spark.createDataFrame([], "file string, name string"))
+    return surface.surface(exports, spark.createDataFrame([("python/mod3.py",)], "module string")).select("exposed", "module", "depth")
+
+
+@query("show_symbols", "SELECT * FROM (VALUES ('Shape3.area', 1), ('helper7', 1), ('Guide', 25)) v(symbol, total)")
+def show_symbols(spark, sf_dir):
+    return code.show(code.declarations(sources(spark, sf_dir)), ["Shape3.area", "helper7", "Guide", "missing"])[1].select("symbol", F.col("total").cast("int").alias("total"))
+
+
+@query("symbols_not_found", "SELECT 'missing' AS symbol")
+def symbols_not_found(spark, sf_dir):
+    return code.show(code.declarations(sources(spark, sf_dir)), ["Shape3.area", "missing"])[2]
+
+
+@query("implementors_of_base", f"SELECT 'python/mod' || n || '.py' AS path, 'Shape' || n AS name FROM {_N}")
+def implementors_of_base(spark, sf_dir):
+    from codeloom.operators import graph
+
+    return graph.implementors(code.types_table(code.declarations(sources(spark, sf_dir))), "Base").select("path", "name")
+
+
+@query("type_usages", "SELECT 'python/mod5.py' AS file, 'construct' AS how UNION ALL SELECT 'python/mod5.py', 'receiver' WHERE false")
+def type_usages(spark, sf_dir):
+    files = _python(spark, sf_dir)
+    return resolve.type_usages(calls_of(files), code.types_table(code.declarations(files)), "Shape5").filter("how = 'construct'").select("file", "how").distinct()
+
+
+@query("markdown_headings", f"SELECT 'markdown/mod' || n || '.md' AS path, level, replace(title, '@', CAST(n AS VARCHAR)) AS title, replace(crumbs, '@', CAST(n AS VARCHAR)) AS crumbs FROM {_N}, (VALUES (1, 'Guide @', ''), (2, 'Use', 'Guide @'), (1, 'End', '')) v(level, title, crumbs)")
+def markdown_headings(spark, sf_dir):
+    from codeloom.operators import chunks
+
+    files = sources(spark, sf_dir).filter("language = 'markdown'")
+    return chunks.headings(files, "path").select("path", "level", "title", F.array_join("crumbs", "/").alias("crumbs"))
+
+
+@query("declaration_markers", f"SELECT 'rust/mod' || n || '.rs' AS file, name, native, mods FROM {_N}, (VALUES ('Thing', 'struct', 'pub'), ('helper', 'fn', 'pub'), ('draw', 'fn', '')) v(name, native, mods)")
+def declaration_markers(spark, sf_dir):
+    rows = code.declarations(sources(spark, sf_dir)).filter("file LIKE 'rust/%' AND kind <> 'impl'")
+    return rows.select("file", F.regexp_replace("name", r"\d+$", "").alias("name"), F.col("native_kind").alias("native"), F.array_join("modifiers", " ").alias("mods"))
+
+
+@query("outline_chunks")
+def outline_chunks(spark, sf_dir):
+    from codeloom.operators import chunks
+
+    return chunks.outline(code.declarations(sources(spark, sf_dir)))
+
+
+@query("digest", f"SELECT 'python/mod' || n || '.py' AS file, kind, replace(name, '@', CAST(n AS VARCHAR)) AS name FROM {_N}, (VALUES ('class', 'Shape@'), ('method', 'area'), ('function', 'run@')) v(kind, name)")
+def digest(spark, sf_dir):
+    return code.digest(code.declarations(_python(spark, sf_dir))).select("file", "kind", "name")
+
+
+@query("context_pack", "SELECT * FROM (VALUES ('python/mod2.py::run2', 'body'), ('python/mod1.py::Shape1::_scale', 'signature'), ('python/mod1.py::Shape1::area', 'signature')) v(qn, form)")
+def context_pack(spark, sf_dir):
+    files = _python(spark, sf_dir)
+    decls = code.qualified(code.declarations(files))
+    edges = calls_of(files).filter("receiver IS NULL OR receiver IN ('self')")
+    sure = edges.filter("kind = 'call'")
+    return reports.context_pack(sure, reports.source_of(decls, files, decls.select("qn")), spark.createDataFrame([("python/mod2.py::run2",)], "node string"), 200).select("qn", "form")
+
+
+@query("incremental_parity", "SELECT CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst WHERE false")
+def incremental_parity(spark, sf_dir):
+    """Call edges that an update of one changed file gives otherwise than a build from scratch: none."""
+    from codeloom.operators import incremental
+
+    before = _python(spark, sf_dir)
+    after = before.withColumn("text", F.when(F.col("path") == "python/mod4.py", F.replace("text", F.lit("run4"), F.lit("ran4"))).otherwise(F.col("text")))
+    decls = code.qualified(code.declarations(after))
+    callables_ = decls.filter(F.col("kind").isin(*code.CALLABLE_KINDS)).select("qn", "file", "name", "kind")
+    imports = code.imports(after)
+    deps, _ = resolve.resolve_imports(imports, after)
+    types = code.types_table(decls)
+    change = spark.createDataFrame([("python/mod4.py", "modified")], "path string, change string")
+    names = spark.createDataFrame([("run4",), ("ran4",)], "name string")
+    part = incremental.apply_to_calls(calls_of(before), code.calls(after), callables_, types, imports, deps, change, names)
+    sides = part.select("src", "dst", "line", "confidence", F.lit(1).alias("n")).unionByName(calls_of(after).select("src", "dst", "line", "confidence", F.lit(-1).alias("n")))
+    return sides.groupBy("src", "dst", "line", "confidence").agg(F.sum("n").alias("n")).filter("n <> 0").select("src", "dst")
