@@ -29,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import words
-from codeloom.llm.common import free_name, written
+from codeloom.llm.common import dropped, free_name, written
 
 SIMILAR = 0.8
+#: Candidate pairs that are verified in one call, about.
+BUCKET = 20_000
 #: Counters in each of two rows, a power of two. The two rows are all that is sent to every task: 1 MB, whatever the input.
 COUNTERS = 1 << 16
 
@@ -139,44 +141,87 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return x.join(y, met).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
-def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(set, members): the word hashes of every set in a pair, read again from the place where it stands first."""
+def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
+    """(set, members): the word hashes, or their low 32 bits, of every set in a pair, read again from the place where it stands first."""
     ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     wanted = nodes.select("set", "place.key", "place.line").join(ends, "set", "left_semi").groupBy("key").agg(F.collect_list("line").alias("lines"))
-    texts = df.select(row_key(id_col, text).alias("key"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "key").select("text", "lines")
+    texts = df.select(row_key(id_col, text).alias("key"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("text", "lines")
+    kind, numbers = (pa.int32(), np.int32) if bits == 32 else (pa.int64(), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, 512):
             cut = [t.split("\n") for t in b.column(0).to_pylist()]
             _, _, sets = _sets([lines[k] for lines, some in zip(cut, b.column(1).to_pylist(), strict=True) for k in some])
-            yield pa.RecordBatch.from_arrays([pa.array(_set_hashes(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "members"])
-
-    return texts.mapInArrow(run, "set long, members array<long>").dropDuplicates(["set"])
+            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+            ends_ = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            low = flat.view(np.int64) if bits == 64 else (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_hashes(sets)), pa.ListArray.from_arrays(pa.array(ends_), pa.array(low, kind))], names=["set", "members"])
+
+    return texts.mapInArrow(run, f"set long, members array<{'int' if bits == 32 else 'bigint'}>")
+
+
+def _reaching(pairs: pa.Table, members: pa.Table) -> np.ndarray:
+    """For each pair (a, b) by how much nine times the words in common exceed four times the words of both sets, which members has; 0 is just enough."""
+    sets = members.column("set").to_numpy()
+    by = np.argsort(sets)
+    lists = members.column("members").combine_chunks()
+    sizes, starts = lists.value_lengths().to_numpy().astype(np.int64), lists.offsets.to_numpy()[:-1].astype(np.int64)
+    words_, word = np.unique(lists.values.to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    has = np.sort(owner * len(words_) + word[starts[0] : starts[0] + len(owner)])
+    one, two = (by[np.searchsorted(sets[by], pairs.column(c).to_numpy())] for c in ("a", "b"))
+    good = np.empty(len(one), dtype=np.int64)
+    for at in range(0, len(one), 50_000):
+        a, b = one[at : at + 50_000], two[at : at + 50_000]
+        first = np.cumsum(sizes[a]) - sizes[a]
+        each = np.arange(sizes[a].sum()) - np.repeat(first, sizes[a]) + np.repeat(starts[a], sizes[a])
+        asked = np.repeat(b, sizes[a]) * len(words_) + word[each]
+        place = np.minimum(np.searchsorted(has, asked), len(has) - 1)
+        both = np.add.reduceat(has[place] == asked, first, dtype=np.int64)
+        good[at : at + 50_000] = 9 * both - 4 * (sizes[a] + sizes[b])
+    return good
 
 
 def links(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(a, b): every pair of different sets with the similarity."""
+    """(a, b): every pair of different sets with the similarity.
+
+    Pairs of one cluster go to one bucket, by the least neighbour of either set, and take each set there once; a cluster of
+    more than BUCKET pairs is dealt over several buckets.
+    """
     pairs = written(candidates(nodes))
-    sets = written(_members(df, nodes, pairs, id_col, text))
+    near = written(_verified(df, nodes, pairs, id_col, text, 32))
+    # low halves of hashes never have fewer words in common; who has just enough by them is looked at again by whole hashes
+    sure, tight = near.filter("over >= 9").select("a", "b"), near.filter("over < 9").select("a", "b")
+    return sure.unionByName(_verified(df, nodes, tight, id_col, text, 64).select("a", "b"))
+
+
+def _verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
+    """(a, b, over): the pairs whose sets reach the similarity, and by how much."""
+    buckets = max(1, -(-pairs.count() // BUCKET))
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("a").alias("near")), F.struct(F.col("b").alias("set"), F.col("a").alias("near")), F.struct(F.col("a").alias("set"), F.col("b").alias("near")))).alias("x")).select("x.*")
+    near = sides.groupBy("set").agg(F.least(F.min("near"), F.col("set")).alias("near"))
+    led = pairs.join(near.withColumnsRenamed({"set": "a", "near": "near_a"}), "a").join(near.withColumnsRenamed({"set": "b", "near": "near_b"}), "b").select("a", "b", F.least("near_a", "near_b").alias("lead"))
+    led = written(led)
+    large = led.groupBy("lead").count().filter(F.col("count") > BUCKET).select("lead", F.ceil(F.col("count") / BUCKET).alias("parts"))
+    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)).cast("long"))
+    placed = led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", part), F.lit(buckets)).alias("bucket"))
+    needed = written(placed.select(F.col("bucket").alias("of"), F.explode(F.array("a", "b")).alias("set")).distinct().join(_members(df, nodes, pairs, id_col, text, bits), "set"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 2048):
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(9 * both >= 4 * (len(x) + len(y)))
-            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        over = _reaching(left, right) if left.num_rows else np.empty(0, dtype=np.int64)
+        out = pa.table({"a": left.column("a"), "b": left.column("b"), "over": over})
+        return out.filter(pa.array(over >= 0, pa.bool_()))
 
-    one, two = sets.select(F.col("set").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("set").alias("b"), F.col("members").alias("of_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+    return placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "a long, b long, over long")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: doc_id, row_key, copy (from 1, of repeated rows), n_lines (those with words), removed_lines (numbers from 0), n_removed, n_links (of its lines to different lines)."""
-    lines = written(_lines(df, id_col, text))
+    wide = written(_lines(df, id_col, text))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")).alias("place")
-    nodes = written(lines.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), first))
+    nodes = written(wide.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), first))
+    lines = written(wide.drop("prefix", "n"))
+    dropped(wide)
     found = written(links(df, nodes, id_col, text))
     places = nodes.select("set", "place")
     pa_, pb = places.select(F.col("set").alias("a"), F.col("place").alias("place_a")), places.select(F.col("set").alias("b"), F.col("place").alias("place_b"))
