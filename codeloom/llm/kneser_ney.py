@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import free_name, written
+from codeloom.llm.common import dropped, free_name, written
 
 ORDER = 5
 #: Text bytes of a block, about.
@@ -39,10 +39,12 @@ QUANTILE = 0.998
 SLACK = 0.1
 HELD_OUT = 10
 LEAST = 1000
+#: Rows of discounts or of single bytes that may be broadcast; beyond that they are joined like the rest.
+FEW = 10_000
 #: Perplexities are compared in steps of this much of their natural logarithm.
 STEP = 0.001
 _PIECE = 1 << 20
-_NO_LANG = "\x00"
+_NO_LANG = "\x00none"
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +88,27 @@ def _counted(texts: list[str | None]) -> pd.Series:
     return pd.concat(found).groupby(level=0).sum() if found else pd.Series(dtype=np.int64)
 
 
+def _by_shard(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of n-grams by shard and then by number, where each shard's end (from 0), and the shards that have any."""
+    shard = grams % shards
+    order = np.lexsort((grams, shard))
+    some, n = np.unique(shard, return_counts=True)
+    return order, np.concatenate([[0], np.cumsum(n)]), some.astype(np.int64)
+
+
 def _block(blocks: int) -> Column:
     """The block of a document: from its id, so that its label finds it; without an id, from its text."""
     return F.pmod(F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("text")), F.lit(blocks))
 
 
+def _shards(blocks: int) -> int:
+    """Into how many shards n-grams fall: as many as blocks, so that a shard's requests stay bounded; odd, so that all bits of an n-gram count."""
+    return max(15, blocks) | 1
+
+
 def asked_and_counted(docs: DataFrame, trusted: DataFrame, blocks: int) -> DataFrame:
-    """(block, lang, gram, n): the distinct n-grams of each block, and how often its training text has them."""
+    """(block, lang, shard, grams, counts): the distinct n-grams of each block by shard, in order, and how often its training text has each."""
+    shards = _shards(blocks)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         known = set(right.column("label_id").to_pylist())
@@ -100,17 +116,23 @@ def asked_and_counted(docs: DataFrame, trusted: DataFrame, blocks: int) -> DataF
         parts: dict[tuple[str, bool], list[str]] = {}
         for i, lang, text, in_fold in zip(ids, langs, texts, train, strict=True):
             parts.setdefault((lang, in_fold and i in known), []).append(text)
-        block = left.column("block")[0].as_py() if left.num_rows else 0
-        out = []
+        block, out = left.column("block")[0].as_py() if left.num_rows else 0, []
         for lang in dict.fromkeys(lang for lang, _ in parts):
             yes, no = _counted(parts.get((lang, True), [])), _counted(parts.get((lang, False), []))
             n = yes.reindex(yes.index.union(no.index), fill_value=0)
-            out.append(pa.table({"block": np.full(len(n), block), "lang": pa.array([lang] * len(n), pa.string()), "gram": n.index.to_numpy(dtype=np.int64), "n": n.to_numpy(dtype=np.int64)}))
-        return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+            grams, counts = n.index.to_numpy(dtype=np.int64), n.to_numpy(dtype=np.int64)
+            order, ends, some = _by_shard(grams, shards)
+            at = pa.array(ends.astype(np.int32))
+            out.append(pa.table({
+                "block": np.full(len(some), block), "lang": pa.array([lang] * len(some), pa.string()), "shard": some,
+                "grams": pa.ListArray.from_arrays(at, pa.array(grams[order])), "counts": pa.ListArray.from_arrays(at, pa.array(counts[order])),
+            }))
+        kinds = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("shard", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        return pa.concat_tables([t.cast(kinds) for t in out]) if out else kinds.empty_table()
 
     labels = trusted.select(F.col("doc_id").alias("label_id"))
     left = docs.select("id", "lang", "text", "train", _block(blocks).alias("block"))
-    return left.groupBy("block").cogroup(labels.select("label_id", F.pmod(F.xxhash64("label_id"), F.lit(blocks)).alias("block")).groupBy("block")).applyInArrow(count, "block long, lang string, gram long, n long")
+    return left.groupBy("block").cogroup(labels.select("label_id", F.pmod(F.xxhash64("label_id"), F.lit(blocks)).alias("block")).groupBy("block")).applyInArrow(count, "block long, lang string, shard long, grams array<long>, counts array<long>")
 
 
 def _tail(gram: str, n: int) -> Column:
@@ -137,38 +159,72 @@ def model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     y_safe = found.withColumn("has", F.col("n1") > 0)
     cuts = y_safe.select("lang", "o", *[F.when(F.col("has"), cut(k)).otherwise(F.lit(k - 0.5)).alias(f"d{k}") for k in (1, 2, 3)])
     discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    cutted = grams.join(cuts, ["lang", "o"]).withColumn("d", discount).withColumn("context", F.shiftright("gram", 8))
+    cutted = grams.join(_few(cuts), ["lang", "o"]).withColumn("d", discount).withColumn("context", F.shiftright("gram", 8))
     contexts = cutted.groupBy("lang", "o", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("cut"))
     mass = cutted.select("lang", "o", "gram", (F.col("c") - F.col("d")).alias("mass"))
     return mass, contexts.select("lang", "o", "context", "total", (F.col("cut") / F.col("total")).alias("lower"))
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """(block, lang, gram, logp): the probability of each n-gram that a block asked for."""
-    mass, contexts = model(asked)
-    distinct = asked.select("lang", "gram").distinct()
-    orders = F.array(*[F.struct(F.lit(o).alias("o"), _tail("gram", o).alias("g")) for o in range(1, ORDER + 1)])
+def _few(df: DataFrame) -> DataFrame:
+    """df, a row for each of a few things of a language: sent to all tasks if there are few rows, which is checked."""
+    out = written(df)
+    return F.broadcast(out) if out.count() <= FEW else out
+
+
+def probabilities(asked: DataFrame) -> DataFrame:
+    """(lang, gram, logp) of every distinct n-gram that was asked for."""
+    counted = asked.select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("lang", F.col("x.grams").alias("gram"), F.col("x.counts").alias("n"))
+    mass, contexts = model(counted)
+    distinct = asked.select("lang", F.explode("grams").alias("gram")).distinct()
+    bytes_ = contexts.filter("o = 1").select("lang", "total", "lower", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("w"))
+    single = bytes_.join(mass.filter("o = 1").select("lang", F.col("gram").alias("w"), "mass"), ["lang", "w"], "left")
+    first = _few(single.select("lang", "w", (F.coalesce(F.col("mass") / F.col("total"), F.lit(0.0)) + F.col("lower") / 256).alias("p1")))
+    orders = F.array(*[F.struct(F.lit(o).alias("o"), _tail("gram", o).alias("g")) for o in range(2, ORDER + 1)])
     each = distinct.select("lang", F.col("gram").alias("whole"), F.explode(orders).alias("x")).select("lang", "whole", "x.o", F.col("x.g").alias("gram"), F.shiftright("x.g", 8).alias("context"))
     looked = each.join(contexts, ["lang", "o", "context"], "left").join(mass, ["lang", "o", "gram"], "left")
     step = F.struct("o", F.coalesce(F.col("mass") / F.col("total"), F.lit(0.0)).alias("a"), F.coalesce("lower", F.lit(1.0)).alias("b"))
-    p = F.aggregate(F.array_sort(F.collect_list(step)), F.lit(1 / 256), lambda below, s: s["a"] + s["b"] * below)
-    logs = looked.groupBy("lang", "whole").agg(F.ln(p).alias("logp")).withColumnRenamed("whole", "gram")
-    return asked.select("block", "lang", "gram").join(logs, ["lang", "gram"])
+    steps = looked.groupBy("lang", "whole").agg(F.array_sort(F.collect_list(step)).alias("steps")).withColumn("w", F.col("whole").bitwiseAND(F.lit(255)))
+    p = F.aggregate("steps", F.coalesce("p1", F.lit(1 / 256)), lambda below, s: s["a"] + s["b"] * below)
+    return steps.join(first, ["lang", "w"], "left").select("lang", F.col("whole").alias("gram"), F.ln(p).alias("logp"))
+
+
+def answers(asked: DataFrame, shards: int) -> DataFrame:
+    """(block, lang, shard, logps): the probabilities of the n-grams that a block asked a shard for, in the n-grams' order."""
+    logs = written(probabilities(asked)).withColumn("shard", F.col("gram") % shards)
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        index, logp = pd.Index(right.column("gram").to_numpy()), right.column("logp").to_numpy()
+        grams = left.column("grams").combine_chunks()
+        flat = grams.flatten().to_numpy()
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())]).astype(np.int32)), pa.array(logp[index.get_indexer(flat)].astype(np.float32)))
+        return pa.table({"block": left.column("block"), "lang": left.column("lang"), "shard": left.column("shard"), "logps": out})
+
+    left = asked.select("block", "lang", "shard", "grams").groupBy("lang", "shard")
+    return left.cogroup(logs.groupBy("lang", "shard")).applyInArrow(tell, "block long, lang string, shard long, logps array<float>")
 
 
 def scored(docs: DataFrame, told: DataFrame, blocks: int) -> DataFrame:
     """(id, key, lang, bytes, logp) of every document."""
+    shards = _shards(blocks)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         langs, texts = np.array(left.column("lang").to_pylist(), dtype=object), left.column("text").to_pylist()
         sizes, sums = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-        of_lang, grams, logps = np.array(right.column("lang").to_pylist(), dtype=object), right.column("gram").to_numpy(), right.column("logp").to_numpy()
+        told_of: dict[str, list] = {}
+        for of, shard, logps in zip(right.column("lang").to_pylist(), right.column("shard").to_pylist(), right.column("logps"), strict=True):
+            told_of.setdefault(of, []).append((shard, logps.values.to_numpy()))
         for lang in dict.fromkeys(langs):
-            mine = of_lang == lang
-            index, logp = pd.Index(grams[mine]), logps[mine]
             rows = np.flatnonzero(langs == lang)
             own = [texts[r] for r in rows]
-            for a, z in _pieces(own):
+            spans = list(_pieces(own))
+            asked = np.unique(np.concatenate([pd.unique(_grams(own[a:z])[0]) for a, z in spans]))
+            got = [x for _, x in sorted(told_of.get(lang, []), key=lambda x: x[0])]
+            order, logp = _by_shard(asked, shards)[0], np.empty(len(asked))
+            if sum(map(len, got)) != len(asked):
+                raise ValueError(f"block asked for {len(asked)} n-grams and got {sum(map(len, got))}")
+            logp[order] = np.concatenate(got) if got else 0.0
+            index = pd.Index(asked)
+            for a, z in spans:
                 found, n = _grams(own[a:z])
                 total = np.concatenate([[0.0], np.cumsum(logp[index.get_indexer(found)])])
                 ends = np.cumsum(n)
@@ -201,8 +257,10 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
     asked = written(asked_and_counted(docs, trusted, blocks))
-    told = written(answers(asked))
+    told = written(answers(asked, _shards(blocks)))
+    dropped(asked)
     scores = written(scored(docs, told, blocks))
+    dropped(told)
     log_ppl = F.when(F.col("bytes") > 0, -F.col("logp") / F.col("bytes"))
     marked = scores.join(trusted.withColumn("trusted", F.lit(True)), F.col("id") == F.col("doc_id"), "left").select(
         "id", "key", "lang", "bytes", log_ppl.alias("log_ppl"), F.floor(log_ppl / STEP).alias("steps"), F.coalesce("trusted", F.lit(False)).alias("trusted"), (F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(HELD_OUT)) == 0).alias("held")
