@@ -13,11 +13,12 @@ are then verified by their exact Jaccard similarity, and classes are the connect
 components of the verified links.
 
 Texts with the same shingle set are one node throughout, so copies cost nothing. In
-a list, a cluster of up to PAIRS nodes gives all its close pairs; a larger one gives
-for each repetition a forest with roots drawn anew, never all pairs. A list of more
-than LIST nodes is dealt into chunks; nodes linked there leave the next pass but for
-one of each chunk's cluster, and passes repeat until no list is too long, so a group
-of any size is reduced in bounded lists and none of its members is lost.
+a list, a node with up to PAIRS close partners gives all of them, another one its
+nearest. After their exact check, components get a label, and nodes that had more
+partners are compared again, only with those of another label, with ever more of the
+nearest and in the last pass with all. So every close pair of a list is either checked
+or lies within a component of checked links. A list of more than LIST nodes is dealt
+into chunks.
 
 Null and empty texts have no shingles; each such document is a class of its own.
 Texts of under five words have one shingle of all their words. Repeated rows belong
@@ -43,8 +44,10 @@ SIMILAR = 0.8
 BITS, STRIP, CENTRES, TAU = 256, 32, 64, 10
 #: Close: what a pair at the bound differs in at most, but for three standard deviations.
 RECALL = 0.97
-#: Rows that lists should have on average; rows of a list at most; nodes of a cluster that gives all its pairs at most.
+#: Rows that lists should have on average; rows of a list at most; partners of a node up to which it gives all of them.
 WANTED, LIST, PAIRS = 256, 2048, 8
+#: How many of its nearest partners a node gives at least, by pass; None: all.
+NEAREST = (2, 16, 128, None)
 SEED = 11
 
 
@@ -132,7 +135,7 @@ def row_key(id_col: str, text: str) -> Column:
 
 
 def _listed(nodes: DataFrame, levels: int, times: int, seed: int) -> DataFrame:
-    """(list, node, f0..f3): the lists that each node's fingerprint passes to, over all repetitions."""
+    """(list, node, label, f0..f3): the lists that each node's fingerprint passes to, over all repetitions."""
     rng = np.random.default_rng(seed)
     strips = [[rng.permutation(BITS)[:STRIP] for _ in range(levels)] for _ in range(times)]
     centres = rng.integers(0, 2**32, size=(times, levels, CENTRES), dtype=np.uint32)
@@ -149,111 +152,130 @@ def _listed(nodes: DataFrame, levels: int, times: int, seed: int) -> DataFrame:
                     at, c = np.nonzero(passes[rows])
                     rows, path = rows[at], words.mix((path[at] * CENTRES + c).view(np.uint64), 20 + level).view(np.int64)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(path), b.column("node").take(pa.array(rows)), *[pa.array(f[rows, w].copy()) for w in range(4)]], names=["list", "node", "f0", "f1", "f2", "f3"])
-
-    return nodes.select("node", "f0", "f1", "f2", "f3").mapInArrow(run, "list long, node long, f0 long, f1 long, f2 long, f3 long")
-
-
-def _links(nodes: np.ndarray, f: np.ndarray, close: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Close pairs of a list: all those of small clusters, a forest of large ones."""
-    order = rng.permutation(len(nodes))
-    left, rest_a, rest_b = order, [], []
-    # clusters by search: each visited node is compared with those not yet reached
-    while len(left):
-        cluster, queue, left = [left[0]], [left[0]], left[1:]
-        tree = []
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(f[left] ^ f[x]).sum(axis=1) <= close
-            got = left[near]
-            left = left[~near]
-            tree += [(x, y) for y in got]
-            cluster += got.tolist()
-            queue += got.tolist()
-        if 2 < len(cluster) <= PAIRS:
-            c = np.array(cluster)
-            d = np.bitwise_count(f[c][:, None] ^ f[c][None]).sum(axis=2) <= close
-            i, j = np.nonzero(np.triu(d, 1))
-            rest_a.append(c[i])
-            rest_b.append(c[j])
-        elif tree:
-            rest_a.append(np.array([x for x, _ in tree]))
-            rest_b.append(np.array([y for _, y in tree]))
-    if not rest_a:
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(path), b.column("node").take(at), b.column("label").take(at), *[pa.array(f[rows, w].copy()) for w in range(4)]], names=["list", "node", "label", "f0", "f1", "f2", "f3"])
+
+    return nodes.select("node", "label", "f0", "f1", "f2", "f3").mapInArrow(run, "list long, node long, label long, f0 long, f1 long, f2 long, f3 long")
+
+
+def _partners(a: np.ndarray, b: np.ndarray, label: np.ndarray, f: np.ndarray, close: int, most: int | None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Close pairs of rows of a with rows of b that have another label, and the rows of a that have more of them.
+
+    A row gives all its partners if they are PAIRS at most or no limit is set, else the nearest ones.
+    """
+    left, right, more = [], [], []
+    limit = len(b) if most is None else max(most, PAIRS)
+    columns, labels = np.ascontiguousarray(f[b].T), label[b]
+    for at in range(0, len(a), 256):
+        rows = a[at : at + 256]
+        d = np.zeros((len(rows), len(b)), dtype=np.uint16)
+        for w in range(f.shape[1]):
+            d += np.bitwise_count(f[rows, w][:, None] ^ columns[w])
+        d[label[rows][:, None] == labels] = BITS + 1
+        n = np.count_nonzero(d <= close, axis=1)
+        few, many = np.flatnonzero((n > 0) & (n <= limit)), np.flatnonzero(n > limit)
+        if len(few):
+            i, j = np.nonzero(d[few] <= close)
+            left.append(rows[few[i]])
+            right.append(b[j])
+        if len(many):
+            j = np.argpartition(d[many], most - 1, axis=1)[:, :most]
+            left.append(np.repeat(rows[many], most))
+            right.append(b[j.ravel()])
+            more.append(rows[many])
+    return left, right, more
+
+
+def _links(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, close: int, most: int | None, part: bool, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs of a list's nodes with different labels; a node paired with itself has more of them (part: may have them elsewhere)."""
+    order = rng.permutation(len(nodes))  # so that ties fall on other nodes in each list
+    left, right, more = _partners(order, order, label, f, close, most)
+    if part:
+        more = [order]
+    if not left and not more:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    a, b = nodes[np.concatenate(rest_a)], nodes[np.concatenate(rest_b)]
+    a, b = nodes[np.concatenate([*left, *more])], nodes[np.concatenate([*right, *more])]
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _compared(lists: DataFrame, close: int) -> DataFrame:
-    """(a, b, full): close pairs of each list; full: found in a chunk of a list that was too long."""
+def _compared(lists: DataFrame, close: int, most: int | None) -> DataFrame:
+    """(a, b): close pairs of each task's nodes with different labels; a = b: this node has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
         def close_in(table: pa.Table):
-            key, salted, node = (table.column(c).to_numpy() for c in ("list", "salts", "node"))
-            part = table.column("salt").to_numpy()
+            key, task, part, node, label = (table.column(c).to_numpy() for c in ("list", "task", "part", "node", "label"))
             f = np.stack([table.column(f"f{w}").to_numpy() for w in range(4)], axis=1).view(np.uint64)
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (task[1:] != task[:-1]), [True]]))
             out = []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if e - s > 1:
-                    one = np.unique(node[s:e], return_index=True)[1] + s
-                    a, b = _links(node[one], f[one], close, np.random.default_rng([SEED, int(key[s]) & 0xFFFFFFFF]))
-                    out.append((a, b, np.full(len(a), salted[s] > 1)))
+                if part[s] or (label[s:e] != label[s]).any():
+                    out.append(_links(node[s:e], label[s:e], f[s:e], close, most, bool(part[s]), np.random.default_rng([SEED, int(key[s]) & 0xFFFFFFFF])))
             if out:
-                a, b, full = (np.concatenate(x) for x in zip(*out, strict=True))
+                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(full)], names=["a", "b", "full"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            last = (b.column("list")[b.num_rows - 1].as_py(), b.column("salt")[b.num_rows - 1].as_py())
-            key, part = b.column("list").to_numpy(), b.column("salt").to_numpy()
-            start = np.flatnonzero((key == last[0]) & (part == last[1]))[0] if b.num_rows else 0
+            last = (b.column("list")[b.num_rows - 1].as_py(), b.column("task")[b.num_rows - 1].as_py())
+            key, task = b.column("list").to_numpy(), b.column("task").to_numpy()
+            start = np.flatnonzero((key == last[0]) & (task == last[1]))[0]
             if start:
                 yield from close_in(pa.Table.from_batches([*kept, b.slice(0, start)]))
                 kept = []
-            elif kept and (kept[-1].column("list")[-1].as_py(), kept[-1].column("salt")[-1].as_py()) != last:
+            elif kept and (kept[-1].column("list")[-1].as_py(), kept[-1].column("task")[-1].as_py()) != last:
                 yield from close_in(pa.Table.from_batches(kept))
                 kept = []
             kept.append(b.slice(start))
         if kept:
             yield from close_in(pa.Table.from_batches(kept))
 
-    return lists.repartition("list", "salt").sortWithinPartitions("list", "salt").mapInArrow(run, "a long, b long, full boolean")
-
-
-def candidates(nodes: DataFrame, similar: float = SIMILAR, recall: float = RECALL, longest: int = LIST) -> DataFrame:
-    """(a, b): distinct pairs of nodes whose fingerprints are close, enough of them to connect each cluster."""
-    found, left, turn = None, nodes, 0
-    while True:
-        n = left.count()
-        levels = levels_for(n)
-        lists = _listed(left, levels, repetitions(levels, recall, similar), SEED + turn)
-        long = written(lists.groupBy("list").count().filter(F.col("count") > longest).select("list", F.ceil(F.col("count") / longest).cast("long").alias("salts")))
-        whole = long.isEmpty()
-        dealt = lists.withColumn("salts", F.lit(1).cast("long")) if whole else lists.join(long, "list", "left").fillna(1, "salts")
-        dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("salts")))
-        pairs = written(_compared(dealt, close_bits(similar)).groupBy("a", "b").agg(F.max("full").alias("full")))
-        found = pairs if found is None else found.unionByName(pairs)
-        if whole:
-            return found.select("a", "b").distinct()
-        # of the clusters linked in chunks only the least node goes on
-        linked = components(pairs.filter("full"))
-        gone = written(linked.filter("node <> label").select("node"))
-        if gone.isEmpty():
-            # nothing near in the lists that are too long: they need more levels, not another pass
-            longest *= 2
-        left = written(left.join(gone, "node", "left_anti"))
-        turn += 1
-
-
-def verified(df: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, id_col: str, similar: float = SIMILAR) -> DataFrame:
-    """The pairs whose shingle sets have the exact Jaccard similarity."""
+    return lists.repartition("list", "task").sortWithinPartitions("list", "task").mapInArrow(run, "a long, b long")
+
+
+def _dealt(lists: DataFrame, longest: int, turn: int) -> DataFrame:
+    """lists with their tasks. part: the task does not compare its nodes with the whole list."""
+    long = written(lists.groupBy("list").count().filter(F.col("count") > longest).select("list", F.ceil(F.col("count") / longest).cast("long").alias("salts")))
+    whole = lists.withColumn("task", F.lit(0).cast("long")).withColumn("part", F.lit(False))
+    if long.isEmpty():
+        return whole
+    dealt = lists.join(long, "list", "left").fillna(1, "salts").withColumn("task", F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.col("salts")))
+    return dealt.withColumn("part", F.col("salts") > 1).drop("salts")
+
+
+def links(df: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, id_col: str, similar: float = SIMILAR, recall: float = RECALL, longest: int = LIST) -> DataFrame:
+    """(a, b): verified links of nodes, enough of them to connect all that any close pair of a list connects.
+
+    A pass compares the nodes of each list that have different labels, verifies the pairs and gives the nodes of a
+    component one label. Nodes that had more partners than the pass took go on; the last pass takes all.
+    """
+    n = nodes.count()
+    levels = levels_for(n)
+    times = repetitions(levels, recall, similar)
+    left, found, tried, sets = nodes.withColumn("label", F.col("node")), None, None, None
+    for turn, most in enumerate(NEAREST):
+        out = written(_compared(_dealt(_listed(left, levels, times, SEED), longest, turn), close_bits(similar), most).distinct())
+        pairs = out.filter("a < b")
+        pairs = pairs if tried is None else written(pairs.join(tried, ["a", "b"], "left_anti"))
+        sets = shingle_sets(df, rows, pairs, text, id_col, sets)
+        good = written(verified(pairs, sets, similar))
+        found, tried = (good, pairs) if found is None else (found.unionByName(good), tried.unionByName(pairs))
+        more = out.filter("a = b").select(F.col("a").alias("node"))
+        if most is None or more.isEmpty():
+            return found
+        left = written(nodes.join(more, "node", "left_semi").join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def shingle_sets(df: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, id_col: str, known: DataFrame | None = None) -> DataFrame:
+    """(node, members) of all nodes in pairs, besides the known ones."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if known is not None:
+        ends = written(ends.join(known.select("node"), "node", "left_anti"))
+        if ends.isEmpty():
+            return known
     wanted = rows.groupBy("node").agg(F.min("key").alias("key")).join(ends, "node", "left_semi").select("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +285,11 @@ def verified(df: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, id_col
 
     texts = df.select(row_key(id_col, text).alias("key"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "key").select("node", "text")
     sets = written(texts.mapInArrow(run, "node long, members array<long>").dropDuplicates(["node"]))
+    return sets if known is None else known.unionByName(sets)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs whose shingle sets have the exact Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches, 512):
@@ -282,8 +309,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     """doc_id, row_key, class_id (the smallest id of the class), class_size, kept, for every row."""
     rows = written(prints(df, id_col, text))
     nodes = written(rows.filter("some").groupBy("node").agg(*[F.first(f"f{w}").alias(f"f{w}") for w in range(4)]))
-    links = written(verified(df, rows, written(candidates(nodes, similar, recall, longest)), text, id_col, similar))
-    labels = components(links)
+    labels = components(links(df, rows, nodes, text, id_col, similar, recall, longest))
     alone = F.when(F.col("some"), F.coalesce("label", "node")).otherwise(F.xxhash64("key"))
     counted = rows.groupBy("node", "some", "doc_id", "key").agg(F.count("*").alias("times"))
     # rows without shingles are classes by row; repeated ones are one class

@@ -202,3 +202,26 @@ def test_quality_classifier_edges(spark):
     kept = kneser_ney.kept(edge_docs(spark), labels)
     assert kept.columns == edge_docs(spark).columns
     assert kneser_ney.classify(no_docs(spark), labels.limit(0)).collect() == []
+
+
+def star(copies, rng):
+    """An original and copies that reach the similarity with it and not with one another; and the Jaccard similarities that hold."""
+    base = [f"w{n}" for n in rng.integers(0, 10**9, 204)]
+    docs = [(0, " ".join(base))]
+    for n in range(1, copies + 1):
+        own = list(base)
+        for at in rng.choice(np.arange(6, 198, 6), 4, replace=False) + rng.integers(0, 2):
+            own[at] = f"c{n}at{at}"
+        docs.append((n, " ".join(own)))
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for _, t in docs]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(alike(sets[0], s) >= 0.8 for s in sets) and np.mean([alike(sets[1], s) >= 0.8 for s in sets[2:]]) < 0.05
+    return docs
+
+
+def test_simhash_finds_the_links_of_stars(spark):
+    docs = [(1001 * k + i, t) for k in range(3) for i, t in star(1000, np.random.default_rng(3 + k))]
+    rows = simhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # by family, as whether an original meets its copies at all depends on the few lists it is in
+    found = [np.mean([r.class_id == 1001 * k for r in rows if r.doc_id // 1001 == k]) for k in range(3)]
+    assert np.mean(found) >= 0.95, found
