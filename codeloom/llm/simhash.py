@@ -18,7 +18,7 @@ nearest. After their exact check, components get a label, and nodes that had mor
 partners are compared again, only with those of another label, with ever more of the
 nearest and in the last pass with all. So every close pair of a list is either checked
 or lies within a component of checked links. A list of more than LIST nodes is dealt
-into chunks.
+into chunks, by itself in the first pass; later passes compare each chunk with each.
 
 Null and empty texts have no shingles; each such document is a class of its own.
 Texts of under five words have one shingle of all their words. Repeated rows belong
@@ -186,10 +186,14 @@ def _partners(a: np.ndarray, b: np.ndarray, label: np.ndarray, f: np.ndarray, cl
     return left, right, more
 
 
-def _links(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, close: int, most: int | None, part: bool, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _links(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, side: np.ndarray, close: int, most: int | None, part: bool, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Close pairs of a list's nodes with different labels; a node paired with itself has more of them (part: may have them elsewhere)."""
     order = rng.permutation(len(nodes))  # so that ties fall on other nodes in each list
-    left, right, more = _partners(order, order, label, f, close, most)
+    if side[0] == 2:
+        left, right, more = _partners(order, order, label, f, close, most)
+    else:
+        one, two = order[side[order] == 0], order[side[order] == 1]
+        left, right, more = (x + y for x, y in zip(_partners(one, two, label, f, close, most), _partners(two, one, label, f, close, most), strict=True))
     if part:
         more = [order]
     if not left and not more:
@@ -205,13 +209,13 @@ def _compared(lists: DataFrame, close: int, most: int | None) -> DataFrame:
         kept: list[pa.RecordBatch] = []
 
         def close_in(table: pa.Table):
-            key, task, part, node, label = (table.column(c).to_numpy() for c in ("list", "task", "part", "node", "label"))
+            key, task, side, part, node, label = (table.column(c).to_numpy() for c in ("list", "task", "side", "part", "node", "label"))
             f = np.stack([table.column(f"f{w}").to_numpy() for w in range(4)], axis=1).view(np.uint64)
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (task[1:] != task[:-1]), [True]]))
             out = []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if part[s] or (label[s:e] != label[s]).any():
-                    out.append(_links(node[s:e], label[s:e], f[s:e], close, most, bool(part[s]), np.random.default_rng([SEED, int(key[s]) & 0xFFFFFFFF])))
+                    out.append(_links(node[s:e], label[s:e], f[s:e], side[s:e], close, most, bool(part[s]), np.random.default_rng([SEED, int(key[s]) & 0xFFFFFFFF])))
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 if len(a):
@@ -236,14 +240,33 @@ def _compared(lists: DataFrame, close: int, most: int | None) -> DataFrame:
     return lists.repartition("list", "task").sortWithinPartitions("list", "task").mapInArrow(run, "a long, b long")
 
 
-def _dealt(lists: DataFrame, longest: int, turn: int) -> DataFrame:
-    """lists with their tasks. part: the task does not compare its nodes with the whole list."""
+def _dealt(lists: DataFrame, longest: int, first: bool) -> DataFrame:
+    """lists with their tasks. side: 0 is compared with 1, 2 with itself; part: the task does not compare its nodes with the whole list.
+
+    In the first pass a long list is dealt into chunks. Later all its chunks meet each other, but for those within
+    a label that fills chunks of its own.
+    """
     long = written(lists.groupBy("list").count().filter(F.col("count") > longest).select("list", F.ceil(F.col("count") / longest).cast("long").alias("salts")))
-    whole = lists.withColumn("task", F.lit(0).cast("long")).withColumn("part", F.lit(False))
+    whole = lambda x: x.withColumn("task", F.lit(0).cast("long")).withColumn("side", F.lit(2)).withColumn("part", F.lit(False))
     if long.isEmpty():
-        return whole
-    dealt = lists.join(long, "list", "left").fillna(1, "salts").withColumn("task", F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.col("salts")))
-    return dealt.withColumn("part", F.col("salts") > 1).drop("salts")
+        return whole(lists)
+    if first:
+        dealt = lists.join(long, "list", "left").fillna(1, "salts").withColumn("task", F.pmod(F.xxhash64("node", "list"), F.col("salts")))
+        return dealt.withColumn("side", F.lit(2)).withColumn("part", F.col("salts") > 1).drop("salts")
+    own = lists.join(long, "list", "left_semi").groupBy("list", "label").count().withColumn("big", F.col("count") > longest)
+    own = written(own.withColumn("group", F.when(F.col("big"), F.col("label")).otherwise(0)))
+    groups = own.groupBy("list", "big", "group").agg(F.ceil(F.sum("count") / longest).cast("long").alias("salts"))
+    chunk = F.xxhash64("big", "group", "salt")
+    chunks = written(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("list", "big", "group", chunk.alias("chunk")))
+    other = chunks.select("list", *[F.col(c).alias(f"other_{c}") for c in ("big", "group", "chunk")])
+    within = F.col("big") & F.col("other_big") & (F.col("group") == F.col("other_group"))
+    met = chunks.join(other, "list").filter((F.col("chunk") <= F.col("other_chunk")) & ~within).withColumn("task", F.xxhash64("chunk", "other_chunk"))
+    sides = F.when(F.col("chunk") == F.col("other_chunk"), F.array(F.struct("chunk", F.lit(2).alias("side")))).otherwise(F.array(F.struct("chunk", F.lit(0).alias("side")), F.struct(F.col("other_chunk").alias("chunk"), F.lit(1).alias("side"))))
+    tasks = written(met.select("list", "task", F.explode(sides).alias("x")).select("list", "task", "x.chunk", "x.side"))
+    of_label = own.join(groups, ["list", "big", "group"]).select("list", "label", "big", "group", "salts")
+    placed = lists.join(of_label, ["list", "label"]).withColumn("salt", F.pmod(F.xxhash64("node", "list"), F.col("salts"))).withColumn("chunk", chunk)
+    dealt = placed.join(tasks, ["list", "chunk"]).select(*lists.columns, "task", "side", F.lit(False).alias("part"))
+    return whole(lists.join(long, "list", "left_anti")).unionByName(dealt)
 
 
 def links(df: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, id_col: str, similar: float = SIMILAR, recall: float = RECALL, longest: int = LIST) -> DataFrame:
@@ -257,14 +280,14 @@ def links(df: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, id_col: s
     times = repetitions(levels, recall, similar)
     left, found, tried, sets = nodes.withColumn("label", F.col("node")), None, None, None
     for turn, most in enumerate(NEAREST):
-        out = written(_compared(_dealt(_listed(left, levels, times, SEED), longest, turn), close_bits(similar), most).distinct())
+        out = written(_compared(_dealt(_listed(left, levels, times, SEED), longest, turn == 0), close_bits(similar), most).distinct())
         pairs = out.filter("a < b")
         pairs = pairs if tried is None else written(pairs.join(tried, ["a", "b"], "left_anti"))
         sets = shingle_sets(df, rows, pairs, text, id_col, sets)
         good = written(verified(pairs, sets, similar))
         found, tried = (good, pairs) if found is None else (found.unionByName(good), tried.unionByName(pairs))
         more = out.filter("a = b").select(F.col("a").alias("node"))
-        if most is None or more.isEmpty():
+        if more.isEmpty():
             return found
         left = written(nodes.join(more, "node", "left_semi").join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
 

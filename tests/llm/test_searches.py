@@ -225,3 +225,15 @@ def test_simhash_finds_the_links_of_stars(spark):
     # by family, as whether an original meets its copies at all depends on the few lists it is in
     found = [np.mean([r.class_id == 1001 * k for r in rows if r.doc_id // 1001 == k]) for k in range(3)]
     assert np.mean(found) >= 0.95, found
+
+
+def test_simhash_compares_all_chunks_of_a_long_list(spark):
+    rng = np.random.default_rng(6)
+    f = rng.integers(-(2**62), 2**62, size=4)
+    # equal fingerprints in one list of 90 nodes, 50 of them with one label already
+    rows = [(7, n, 0 if n < 50 else n, *map(int, f)) for n in range(90)] + [(8, n, n, *map(int, f)) for n in range(5)]
+    lists = spark.createDataFrame(rows, "list long, node long, label long, f0 long, f1 long, f2 long, f3 long")
+    got = {(r.a, r.b) for r in simhash._compared(simhash._dealt(lists, 20, False), 55, None).collect()}
+    assert got == {(a, b) for a in range(90) for b in range(max(a + 1, 50), 90)} | {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    first = simhash._compared(simhash._dealt(lists, 20, True), 55, 2).collect()
+    assert {n for n in range(90)} == {r.a for r in first if r.a == r.b}
