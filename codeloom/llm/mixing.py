@@ -62,9 +62,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return free.select("source", "source_size", F.when(share <= F.col("cap"), share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """For each row: doc_id, source, size, source_size, target, taken."""
-    slim = written(df.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """For each row: doc_id, source, size, source_size, target, taken, and row, the column that tells rows apart, if given."""
+    rows = [] if row is None else [row]
+    slim = written(df.select(*rows, F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
     hashed = slim.withColumn("order", seeded(F.col("doc_id"), seed)).withColumn("range", F.substring("order", 1, 3)).withColumn("key", _key(F.col("source")))
     ranges = hashed.groupBy("key", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, epochs)
@@ -77,18 +78,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     whole = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target + 0.5) AS BIGINT) DIV source_size")).otherwise(F.lit(0)).cast("long")
     rest = want - whole * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
+    return placed.select(*rows, "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: each row of df as often as it is taken whole, and once more cut after the words that it is taken in part.
 
-    Ids must be unique. Rows without words aren't taken. Columns are those of df.
+    Rows are told apart by a number that is written once with them, so ids may be null or repeated. Rows without words
+    aren't taken. Columns are those of df.
     """
     names = [free_name(df, f"mix_{x}") for x in ("size", "taken", "time")]
     size, taken, time = map(F.col, names)
-    plan = mix(df, id_col, text, source, **how).filter("taken > 0").select(F.col("doc_id").alias(id_col), F.col("size").alias(names[0]), F.col("taken").alias(names[1]))
-    joined = df.join(plan, id_col).withColumn(names[2], F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size).cast("long"))))
+    row = free_name(df, "mix_row")
+    df_rows = written(df.withColumn(row, F.monotonically_increasing_id()))
+    plan = mix(df_rows, id_col, text, source, row=row, **how).filter("taken > 0").select(row, F.col("size").alias(names[0]), F.col("taken").alias(names[1]))
+    joined = df_rows.join(plan, row).withColumn(names[2], F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size).cast("long"))))
     left = taken - (time - 1) * size
     start = F.regexp_extract(F.col(text), r"^[\x20\x09-\x0D]*", 0)
     words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))

@@ -1,7 +1,7 @@
 import base64
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -246,3 +246,15 @@ def test_revisits_of_a_hot_url(spark):
     rows = [(n, "hot.com", n, n % 7 == 0, f"e{n}", None, {}, None, "s") for n in range(3000)]
     got = revisit.resolve(spark.createDataFrame(rows, CAPTURES).repartition(5)).collect()
     assert {(r.record_id, r.response_id) for r in got} == {(n, n // 7 * 7) for n in range(3000) if n % 7}
+
+
+def test_mixing_repeats_rows_with_null_and_repeated_ids(spark):
+    df = edge_docs(spark)
+    df = df.unionByName(df.filter("doc_id = 1").withColumn("text", F.lit("another text of the same id and source")))
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df).filter("taken > 0").collect():
+        want[r.doc_id, r.source] += r.taken
+    out = mixing.repeated(df)
+    for r in out.collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert got == want and got[None, "books"] > 0 and out.columns == df.columns
