@@ -6,13 +6,19 @@ earlier line, by (document id, line number), is removed; null ids come last, and
 repeated documents follow one another. Lines without words match nothing.
 
 Lines with one word set are one node, with its first place; copies are never paired.
-Nodes are joined by prefix filtering: the words of each set are put in one global
-order, rare words first, and two sets of the similarity share a word among their
-first n - ceil(0.8 n) + 1. Rarity is taken from two rows of counters of fixed size,
-summed over all lines; what order it gives decides only the cost, not the result.
-A shared prefix word makes a candidate if the lengths agree with the bound and if
-the words after the two positions can still reach the overlap. Candidates are
-verified on their whole sets.
+A set is told from others by 128 bits, a word by 64 bits of hash. Nodes are joined by
+prefix filtering: the words of each set are put in one global order, rare words
+first, and two sets of the similarity share a word among their first
+n - ceil(0.8 n) + 1, for the shorter set among its first n / 9 + 1. Rarity is taken
+from two rows of counters of fixed size, summed over all words; what order it gives
+decides only the cost, not the result. Words of which there is one in all lines meet
+nothing and are left out.
+
+Two sets that meet on a prefix word are a candidate if their lengths agree with the
+bound, if the words after the two positions can still reach the overlap, and if the
+parities of their words in 64 classes differ in no more classes than the sets may
+differ in words. These filters run inside the join, so what leaves it is nearly all
+true; those few candidates are verified on their whole sets, in buckets of clusters.
 
 Null and empty texts have no lines. Very long texts and lines are taken whole.
 Columns of the input other than those named are not read. Empty tables give empty
@@ -34,8 +40,12 @@ from codeloom.llm.common import dropped, free_name, written
 SIMILAR = 0.8
 #: Candidate pairs that are verified in one call, about.
 BUCKET = 20_000
-#: Counters in each of two rows, a power of two. The two rows are all that is sent to every task: 1 MB, whatever the input.
-COUNTERS = 1 << 16
+#: Counters in each of two rows, a power of two. Each takes a byte on its way to the tasks: 4 MB together, whatever the input.
+COUNTERS = 1 << 21
+#: Rows of the place of candidates' sets that may be broadcast; more are joined by a shuffle.
+FEW = 200_000
+_BLOCK = 1 << 16
+_SLICE = 1024
 
 
 def _needed(n):
@@ -43,134 +53,176 @@ def _needed(n):
     return -(-4 * n // 5)
 
 
-def _sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each line with words: number of its text, number of the line in it, distinct word hashes."""
-    lines, text_of, line_of = [], [], []
-    for t, text in enumerate(texts):
-        for k, line in enumerate((text or "").split("\n")):
-            lines.append(line)
-            text_of.append(t)
-            line_of.append(k)
-    sets, keep = [], []
-    for a, z in words.runs(lines):
-        hashes, at = words.word_hashes(lines[a:z])
-        for n, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            if e > s:
-                sets.append(np.unique(hashes[s:e]))
-                keep.append(a + n)
-    keep = np.array(keep, dtype=np.int64)
-    return np.array(text_of, dtype=np.int64)[keep], np.array(line_of, dtype=np.int64)[keep], sets
-
-
-def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    if not sets:
-        return np.empty(0, dtype=np.int64)
-    joined, starts = np.concatenate(sets), np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(words.mix(joined, 3), starts) + np.array([len(s) for s in sets], dtype=np.uint64)
-    return words.mix(sums, 4).view(np.int64)
-
-
-def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def row_key(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = _SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
-def row_key(id_col: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text))
-
-
 def _counter(hashes: np.ndarray, row: int) -> np.ndarray:
-    return ((hashes >> np.uint64(24 * row + 8)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+    return ((hashes >> np.uint64(28 * row + 8)) & np.uint64(COUNTERS - 1)).astype(np.int64) + row * COUNTERS
 
 
 def _counters(texts: DataFrame) -> np.ndarray:
-    """How many lines have a word of each counter, in two rows."""
+    """How many words fall to each counter, as steps of their logarithm: 0 is none, 1 is one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * COUNTERS, dtype=np.int64)
-        for b in _parts(batches, 512):
-            _, _, sets = _sets(b.column(0).to_pylist())
-            if sets:
-                joined = np.concatenate(sets)
-                total += np.concatenate([np.bincount(_counter(joined, row), minlength=COUNTERS) for row in range(2)])
+        for b in _parts(batches):
+            hashes, _ = words.word_hashes(b.column(0).to_pylist())
+            for row in range(2):
+                np.add.at(total, _counter(hashes, row), 1)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 8192]), pa.array(total[some[at : at + 8192]])], names=["at", "n"])
-
-    out = np.zeros(2 * COUNTERS, dtype=np.int64)
-    for r in texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out.reshape(2, COUNTERS)
+            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 8192].astype(np.int32)), pa.array(total[some[at : at + 8192]])], names=["at", "n"])
+
+    def steps(table: pa.Table) -> pa.Table:
+        at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
+        out = np.zeros(_BLOCK, dtype=np.uint8)
+        out[at % _BLOCK] = np.minimum(1 + np.round(4 * np.log2(n)), 255)
+        return pa.table({"block": pa.array([int(at[0]) // _BLOCK], pa.int32()), "steps": pa.array([out.tobytes()], pa.binary())})
+
+    summed = texts.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(2 * COUNTERS, dtype=np.uint8)
+    for r in summed.groupBy((F.col("at") / _BLOCK).cast("int").alias("of")).applyInArrow(steps, "block int, steps binary").collect():
+        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["steps"], dtype=np.uint8)
+    return out
+
+
+class _Sets:
+    """The word sets of the lines of some texts that have words: which text and line, how many words, and the words' hashes one set after another."""
+
+    def __init__(self, texts: list[str | None]):
+        hashes, line, first = words.line_words(texts)
+        owner, self.hashes = words.distinct(line, hashes)
+        new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
+        at = owner[new]
+        self.starts, self.n = new, np.diff(new, append=len(owner))
+        self.text = np.searchsorted(first, at, "right") - 1
+        self.line = at - first[self.text]
+
+    def sums(self, seed: int) -> np.ndarray:
+        """A number for each set, whatever the order of its words."""
+        if not len(self.n):
+            return np.empty(0, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            return words.mix(np.add.reduceat(words.mix(self.hashes, seed), self.starts) + self.n.astype(np.uint64), seed + 1).view(np.int64)
+
+    def parities(self) -> np.ndarray:
+        """A bit for each of 64 classes of words: whether the number of words in it is odd."""
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.hashes >> np.uint64(58)), self.starts).view(np.int64)
+
+    def only(self, which: np.ndarray) -> np.ndarray:
+        """The words of some sets, and the sets' numbers among them."""
+        n = self.n[which]
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[which], n)
+
+
+def _prefixes(sets: _Sets, which: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some sets the prefix words that others may have, each as 32 bits of hash and 32 of its place, and how many of each set."""
+    at, n = sets.only(which), sets.n[which]
+    hashes, of = sets.hashes[at], np.repeat(np.arange(len(n)), n)
+    rarity = np.minimum(seen[_counter(hashes, 0)], seen[_counter(hashes, 1)])
+    key = (of.astype(np.uint64) << np.uint64(40)) | (rarity.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32))
+    order = np.argsort(key)
+    if (key[order][1:] == key[order][:-1]).any():  # words that agree in their high bits must have one order everywhere
+        order = np.lexsort((hashes, rarity, of))
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+    used = np.where(n > 3, n - _needed(n) + 1, 0)  # sets of up to 3 words match no other set
+    take = (place < np.repeat(used, n)) & (rarity[order] > 1)
+    low = hashes[order][take] << np.uint64(32)
+    return (low | place[take].astype(np.uint64)).view(np.int64), np.bincount(of[take], minlength=len(n))
 
 
 def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, key, line, set, n, prefix) of each line with words."""
+    """(doc_id, key, line, high, low) of each line with words; n, parities and prefix with the first line of each set among some documents."""
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("key"), F.col(text).alias("text"))
     counters = df.sparkSession.sparkContext.broadcast(_counters(slim.select("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counters.value
-        for b in _parts(batches, 512):
-            text_of, line_of, sets = _sets(b.column(2).to_pylist())
-            if not sets:
+        for b in _parts(batches):
+            sets = _Sets(b.column(2).to_pylist())
+            if not len(sets.n):
                 continue
-            joined, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-            rarity = np.minimum(seen[0][_counter(joined, 0)], seen[1][_counter(joined, 1)])
-            line = np.repeat(np.arange(len(sets)), sizes)
-            order = np.lexsort((joined, rarity, line))
-            place = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            used = np.where(sizes > 3, sizes - _needed(sizes) + 1, 0)  # sets of up to 3 words match no other set
-            inside = place < np.repeat(used, sizes)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.array(joined[order][inside].view(np.int64)))
-            rows = pa.array(text_of)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(line_of.astype(np.int32)), pa.array(_set_hashes(sets)), pa.array(sizes.astype(np.int32)), prefix], names=["doc_id", "key", "line", "set", "n", "prefix"])
-
-    return slim.mapInArrow(run, "doc_id long, key long, line int, set long, n int, prefix array<long>")
+            high, low = sets.sums(3), sets.sums(5)
+            rows = pa.array(sets.text)
+            doc, key = b.column(0).take(rows), b.column(1).take(rows)
+            no_id = doc.is_null().to_numpy(zero_copy_only=False)
+            order = np.lexsort((sets.line, key.to_numpy(), doc.fill_null(0).to_numpy(), no_id, low, high))
+            new = np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
+            first = np.sort(order[new])
+            found, sizes = _prefixes(sets, first, seen)
+            counts = np.zeros(len(sets.n), dtype=np.int64)
+            counts[first] = sizes
+            own = np.zeros(len(sets.n), dtype=bool)
+            own[first] = True
+            lone = pa.array(~own)
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            prefix = pa.ListArray.from_arrays(ends, pa.array(found), mask=lone)
+            yield pa.RecordBatch.from_arrays(
+                [doc, key, pa.array(sets.line.astype(np.int32)), pa.array(high), pa.array(low), pa.array(sets.n.astype(np.int32), mask=~own), pa.array(sets.parities(), mask=~own), prefix],
+                names=["doc_id", "key", "line", "high", "low", "n", "parities", "prefix"],
+            )
+
+    return slim.mapInArrow(run, "doc_id long, key long, line int, high long, low long, n int, parities long, prefix array<long>")
+
+
+def _nodes(wide: DataFrame) -> DataFrame:
+    """A row for each set: node, a number of its own, high, low, place (its first), n, parities, prefix."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")
+    first = F.min(F.struct(place.alias("place"), "n", "parities", "prefix")).alias("first")
+    return wide.filter("n IS NOT NULL").groupBy("high", "low").agg(first).select(F.monotonically_increasing_id().alias("node"), "high", "low", "first.*")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): distinct pairs of sets that share a prefix word within the bounds of length and position."""
-    tokens = nodes.filter("n > 3").select("set", "n", F.posexplode("prefix").alias("i", "word"))
-    x, y = tokens.select(*[F.col(c).alias(f"{c}_a") for c in tokens.columns]), tokens.select(*[F.col(c).alias(f"{c}_b") for c in tokens.columns])
+    """(a, b): distinct pairs of nodes that share a prefix word and pass the filters of length, place and parities; a has no more words than b."""
+    tokens = nodes.filter("n > 3").select("node", "n", "parities", F.explode("prefix").alias("x"))
+    tokens = tokens.select(F.shiftright("x", 32).cast("int").alias("word"), "node", "n", F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), "parities")
+    x, y = (tokens.select(*[F.col(c).alias(f"{c}_{side}") for c in tokens.columns]) for side in "ab")
+    both = F.col("n_a") + F.col("n_b")
     met = (
-        (F.col("word_a") == F.col("word_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_a") < F.col("set_b"))))
-        & (5 * F.col("n_a") >= 4 * F.col("n_b")) & (9 * (1 + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1) >= 4 * (F.col("n_a") + F.col("n_b")))
+        (F.col("word_a") == F.col("word_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
+        & (5 * F.col("n_a") >= 4 * F.col("n_b")) & (9 * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= 4 * both)
+        & (9 * F.bit_count(F.col("parities_a").bitwiseXOR(F.col("parities_b"))) <= both)
     )
-    return x.join(y, met).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+    return x.filter("9 * i_a <= n_a").join(y.hint("merge"), met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
-    """(set, members): the word hashes, or their low 32 bits, of every set in a pair, read again from the place where it stands first."""
-    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = nodes.select("set", "place.key", "place.line").join(ends, "set", "left_semi").groupBy("key").agg(F.collect_list("line").alias("lines"))
-    texts = df.select(row_key(id_col, text).alias("key"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("text", "lines")
-    kind, numbers = (pa.int32(), np.int32) if bits == 32 else (pa.int64(), np.int64)
+def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(node, members): the word hashes of every set in a pair, read again from the place where it stands first."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(nodes.select("node", "place.doc_id", "place.key", "place.line").join(ends, "node", "left_semi"))
+    few = wanted.count() <= FEW
+    lists = wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "node")).alias("asked"))
+    lists = F.broadcast(lists) if few else lists.hint("shuffle_hash")
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("row"), F.col(text).alias("text"))
+    texts = slim.join(lists, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "asked.line", "asked.node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 512):
+        for b in _parts(batches):
             cut = [t.split("\n") for t in b.column(0).to_pylist()]
-            _, _, sets = _sets([lines[k] for lines, some in zip(cut, b.column(1).to_pylist(), strict=True) for k in some])
-            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
-            ends_ = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            low = flat.view(np.int64) if bits == 64 else (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(numbers)
-            yield pa.RecordBatch.from_arrays([pa.array(_set_hashes(sets)), pa.ListArray.from_arrays(pa.array(ends_), pa.array(low, kind))], names=["set", "members"])
+            sets = _Sets([lines[k] for lines, some in zip(cut, b.column(1).to_pylist(), strict=True) for k in some])
+            ends_ = pa.array(np.concatenate([sets.starts, [len(sets.hashes)]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(2).flatten(), pa.ListArray.from_arrays(ends_, pa.array(sets.hashes.view(np.int64)))], names=["node", "members"])
 
-    return texts.mapInArrow(run, f"set long, members array<{'int' if bits == 32 else 'bigint'}>")
+    return texts.mapInArrow(run, "node long, members array<long>")
 
 
 def _reaching(pairs: pa.Table, members: pa.Table) -> np.ndarray:
-    """For each pair (a, b) by how much nine times the words in common exceed four times the words of both sets, which members has; 0 is just enough."""
-    sets = members.column("set").to_numpy()
-    by = np.argsort(sets)
-    lists = members.column("members").combine_chunks()
-    sizes, starts = lists.value_lengths().to_numpy().astype(np.int64), lists.offsets.to_numpy()[:-1].astype(np.int64)
-    words_, word = np.unique(lists.values.to_numpy(), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    has = np.sort(owner * len(words_) + word[starts[0] : starts[0] + len(owner)])
-    one, two = (by[np.searchsorted(sets[by], pairs.column(c).to_numpy())] for c in ("a", "b"))
-    good = np.empty(len(one), dtype=np.int64)
+    """For each pair (a, b) whether nine times the words in common reach four times the words of both sets, which members has."""
+    sets, by = np.unique(members.column("set").to_numpy(), return_index=True)  # repeated rows give a set more than once
+    lists = members.column("members").take(pa.array(by)).combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    words_, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    has = np.sort(np.repeat(np.arange(len(sets)), sizes) * len(words_) + word)
+    one, two = (np.searchsorted(sets, pairs.column(c).to_numpy()) for c in ("a", "b"))
+    good = np.empty(len(one), dtype=bool)
     for at in range(0, len(one), 50_000):
         a, b = one[at : at + 50_000], two[at : at + 50_000]
         first = np.cumsum(sizes[a]) - sizes[a]
@@ -178,7 +230,7 @@ def _reaching(pairs: pa.Table, members: pa.Table) -> np.ndarray:
         asked = np.repeat(b, sizes[a]) * len(words_) + word[each]
         place = np.minimum(np.searchsorted(has, asked), len(has) - 1)
         both = np.add.reduceat(has[place] == asked, first, dtype=np.int64)
-        good[at : at + 50_000] = 9 * both - 4 * (sizes[a] + sizes[b])
+        good[at : at + 50_000] = 9 * both >= 4 * (sizes[a] + sizes[b])
     return good
 
 
@@ -189,60 +241,50 @@ def links(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
     more than BUCKET pairs is dealt over several buckets.
     """
     pairs = written(candidates(nodes))
-    near = written(_verified(df, nodes, pairs, id_col, text, 32))
-    # low halves of hashes never have fewer words in common; who has just enough by them is looked at again by whole hashes
-    sure, tight = near.filter("over >= 9").select("a", "b"), near.filter("over < 9").select("a", "b")
-    return sure.unionByName(_verified(df, nodes, tight, id_col, text, 64).select("a", "b"))
-
-
-def _verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
-    """(a, b, over): the pairs whose sets reach the similarity, and by how much."""
     buckets = max(1, -(-pairs.count() // BUCKET))
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("a").alias("near")), F.struct(F.col("b").alias("set"), F.col("a").alias("near")), F.struct(F.col("a").alias("set"), F.col("b").alias("near")))).alias("x")).select("x.*")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("b").alias("near")), F.struct(F.col("b").alias("set"), F.col("a").alias("near")))).alias("x")).select("x.*")
     near = sides.groupBy("set").agg(F.least(F.min("near"), F.col("set")).alias("near"))
-    led = pairs.join(near.withColumnsRenamed({"set": "a", "near": "near_a"}), "a").join(near.withColumnsRenamed({"set": "b", "near": "near_b"}), "b").select("a", "b", F.least("near_a", "near_b").alias("lead"))
-    led = written(led)
+    led = written(pairs.join(near.withColumnsRenamed({"set": "a", "near": "near_a"}), "a").join(near.withColumnsRenamed({"set": "b", "near": "near_b"}), "b").select("a", "b", F.least("near_a", "near_b").alias("lead")))
     large = led.groupBy("lead").count().filter(F.col("count") > BUCKET).select("lead", F.ceil(F.col("count") / BUCKET).alias("parts"))
     part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)).cast("long"))
-    placed = led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", part), F.lit(buckets)).alias("bucket"))
-    needed = written(placed.select(F.col("bucket").alias("of"), F.explode(F.array("a", "b")).alias("set")).distinct().join(_members(df, nodes, pairs, id_col, text, bits), "set"))
+    placed = written(led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", part), F.lit(buckets)).alias("bucket")))
+    members = _members(df, nodes, pairs, id_col, text).withColumnRenamed("node", "set")
+    needed = placed.select(F.col("bucket").alias("of"), F.explode(F.array("a", "b")).alias("set")).distinct().join(members, "set")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        over = _reaching(left, right) if left.num_rows else np.empty(0, dtype=np.int64)
-        out = pa.table({"a": left.column("a"), "b": left.column("b"), "over": over})
-        return out.filter(pa.array(over >= 0, pa.bool_()))
+        return left.select(["a", "b"]).filter(pa.array(_reaching(left, right) if left.num_rows else np.empty(0, dtype=bool)))
 
-    return placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "a long, b long, over long")
+    return placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "a long, b long")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: doc_id, row_key, copy (from 1, of repeated rows), n_lines (those with words), removed_lines (numbers from 0), n_removed, n_links (of its lines to different lines)."""
     wide = written(_lines(df, id_col, text))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")).alias("place")
-    nodes = written(wide.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), first))
-    lines = written(wide.drop("prefix", "n"))
+    nodes = written(_nodes(wide))
+    lines = written(wide.select("doc_id", "key", "line", "high", "low"))
     dropped(wide)
     found = written(links(df, nodes, id_col, text))
-    places = nodes.select("set", "place")
-    pa_, pb = places.select(F.col("set").alias("a"), F.col("place").alias("place_a")), places.select(F.col("set").alias("b"), F.col("place").alias("place_b"))
-    both = found.join(pa_, "a").join(pb, "b")
-    sides = both.select(F.explode(F.array(F.struct(F.col("a").alias("set"), (F.col("place_a") > F.col("place_b")).alias("later")), F.struct(F.col("b").alias("set"), (F.col("place_b") > F.col("place_a")).alias("later")))).alias("x")).select("x.*")
-    linked = sides.groupBy("set").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    known = places.join(linked, "set", "left")
+    places = nodes.select("node", "place")
+    both = found.join(places.withColumnsRenamed({"node": "a", "place": "place_a"}), "a").join(places.withColumnsRenamed({"node": "b", "place": "place_b"}), "b")
+    sides = both.select(F.explode(F.array(F.struct(F.col("a").alias("node"), (F.col("place_a") > F.col("place_b")).alias("later")), F.struct(F.col("b").alias("node"), (F.col("place_b") > F.col("place_a")).alias("later")))).alias("x")).select("x.*")
+    linked = sides.groupBy("node").agg(F.count("*").alias("links"), F.max("later").alias("later"))
+    known = nodes.select("node", "high", "low", "place").join(linked, "node", "left").drop("node")
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")
-    each = lines.join(known, "set").select("key", "line", (F.coalesce("later", F.lit(False)) | (here != F.col("place"))).alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))
-    once = each.groupBy("key", "line").agg(F.max("gone").alias("gone"), F.max("links").alias("links"))
-    summed = once.groupBy("key").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"), F.array_sort(F.collect_list("line")).alias("all"), F.sum("links").alias("n_links"))
+    each = lines.join(known, ["high", "low"]).select("doc_id", "key", F.struct("line", (F.coalesce("later", F.lit(False)) | (here != F.col("place"))).alias("gone"), F.coalesce("links", F.lit(0)).alias("links")).alias("x"))
+    listed = each.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    gone, all_lines = F.transform(F.filter("xs", lambda x: x["gone"]), lambda x: x["line"]), F.transform("xs", lambda x: x["line"])
+    summed = listed.select(F.col("doc_id").alias("of"), F.col("key").alias("row_key"), F.size("xs").cast("long").alias("n_lines"), gone.alias("removed"), all_lines.alias("all"), F.aggregate("xs", F.lit(0).cast("long"), lambda n, x: n + x["links"]).alias("n_links"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("times"))
-    joined = rows.join(summed, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    joined = rows.join(summed, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     removed = F.coalesce(F.when(F.col("copy") > 1, F.col("all")).otherwise(F.col("removed")), F.expr("CAST(array() AS ARRAY<INT>)"))
-    return joined.select("doc_id", F.col("key").alias("row_key"), "copy", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), removed.alias("removed_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return joined.select("doc_id", F.col("key").alias("row_key"), "copy", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), removed.alias("removed_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def without(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the removed lines taken out of its texts; of repeated rows one is left."""
-    key, gone = free_name(df, "line_key"), free_name(df, "line_gone")
-    found = written(removals(df, id_col, text).filter("copy = 1").select(F.col("row_key").alias(key), F.col("removed_lines").alias(gone)))
-    rows = df.withColumn(key, row_key(id_col, text)).dropDuplicates([key]).join(found, key)
+    key, of, gone = (free_name(df, f"line_{x}") for x in ("key", "of", "gone"))
+    found = written(removals(df, id_col, text).filter("copy = 1").select(F.col("row_key").alias(key), F.col("doc_id").alias(of), F.col("removed_lines").alias(gone)))
+    row = free_name([*df.columns, key, of, gone], "line_row")
+    rows = df.withColumn(row, row_key(id_col, text)).dropDuplicates([row, id_col]).join(found, (F.col(row) == F.col(key)) & F.col(id_col).cast("long").eqNullSafe(F.col(of)))
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
     return rows.withColumn(text, F.when(F.size(gone) > 0, left).otherwise(F.col(text))).select(*df.columns)

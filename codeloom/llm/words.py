@@ -52,19 +52,63 @@ def runs(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+#: Bytes that are hashed at a time, so that what is computed of each byte stays in a core's cache.
+_CHUNK = 1 << 16
+
+
+def _hashed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in an array of bytes that begins and ends with white space, and where each word begins."""
+    white = (x == 32) | ((x - np.uint8(9)) <= 4)
+    edges = np.flatnonzero(white[:-1] != white[1:]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            first = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, first + _CHUNK, "right")))
+            up, down = _Powers.of(int(ends[to - 1] - first) + 1)
+            total = np.zeros(len(up), dtype=np.uint64)
+            each = total[1:]
+            each[:] = x[first : ends[to - 1]]
+            each += np.uint64(1)
+            each *= up[:-1]
+            np.cumsum(each, out=each)
+            s, e = starts[at:to] - first, ends[at:to] - first
+            out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+            at = to
+        return mix(out), starts
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text (and the end) where its words begin."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    x = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
-    white = (x == 32) | ((x >= 9) & (x <= 13))
-    starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
-    ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    up, down = _Powers.of(len(x))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
-        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    offsets = np.cumsum([1, *[len(r) + 1 for r in raw]])
-    return hashes, np.searchsorted(starts, offsets)
+    hashes, starts = _hashed(np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8))
+    return hashes, np.searchsorted(starts, np.cumsum([1, *[len(r) + 1 for r in raw]]))
+
+
+def line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, the line of each, and for each text (and the end) the number of its first line; lines are counted over all texts."""
+    raw = b"\n".join([b"", *[(t or "").encode("utf-8", "replace") for t in texts], b""])
+    x = np.frombuffer(raw, dtype=np.uint8)
+    hashes, starts = _hashed(x)
+    breaks = np.flatnonzero(x == 10)
+    line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), append=len(starts)))
+    lines = np.array([(t or "").count("\n") + 1 for t in texts], dtype=np.int64)
+    return hashes, line, np.concatenate([[0], np.cumsum(lines)])
+
+
+def distinct(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (owner, hash) pairs in order of owner; owners are small numbers in order."""
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    o, h = owner[order], hashes[order]
+    same = (o[1:] == o[:-1]) & ((h[1:] ^ h[:-1]) >> np.uint64(24) == 0)
+    if (same & (h[1:] != h[:-1])).any():  # hashes that agree in their high bits alone
+        order = np.lexsort((hashes, owner))
+        o, h = owner[order], hashes[order]
+        same = (o[1:] == o[:-1]) & (h[1:] == h[:-1])
+    new = np.concatenate([[True], ~same])[: len(o)]
+    return o[new], h[new]
 
 
 def shingles(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
