@@ -42,8 +42,8 @@ SIMILAR = 0.8
 BUCKET = 20_000
 #: Counters in each of two rows, a power of two. Each takes a byte on its way to the tasks: 4 MB together, whatever the input.
 COUNTERS = 1 << 21
-#: Rows of the place of candidates' sets that may be broadcast; more are joined by a shuffle.
-FEW = 200_000
+#: Bits of a filter of row keys, a power of two; 2 MB are sent to the tasks, whatever the input.
+BITS = 1 << 24
 _BLOCK = 1 << 16
 _SLICE = 1024
 
@@ -71,24 +71,28 @@ def _counters(texts: DataFrame) -> np.ndarray:
     """How many words fall to each counter, as steps of their logarithm: 0 is none, 1 is one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * COUNTERS, dtype=np.int64)
+        total = np.zeros(2 * COUNTERS, dtype=np.uint64)
         for b in _parts(batches):
             hashes, _ = words.word_hashes(b.column(0).to_pylist())
             for row in range(2):
                 np.add.at(total, _counter(hashes, row), 1)
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 8192].astype(np.int32)), pa.array(total[some[at : at + 8192]])], names=["at", "n"])
+        for block, n in enumerate(total.reshape(-1, _BLOCK)):
+            some = np.flatnonzero(n)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([some.astype(np.uint16).tobytes()]), pa.array([n[some].tobytes()])], names=["block", "at", "n"])
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total.setdefault(block, np.zeros(_BLOCK, dtype=np.uint64))[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint64)
+        for block, n in total.items():
+            out = np.where(n > 0, np.minimum(1 + np.round(4 * np.log2(np.maximum(n, 1))), 255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()])], names=["block", "steps"])
 
-    def steps(table: pa.Table) -> pa.Table:
-        at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
-        out = np.zeros(_BLOCK, dtype=np.uint8)
-        out[at % _BLOCK] = np.minimum(1 + np.round(4 * np.log2(n)), 255)
-        return pa.table({"block": pa.array([int(at[0]) // _BLOCK], pa.int32()), "steps": pa.array([out.tobytes()], pa.binary())})
-
-    summed = texts.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     out = np.zeros(2 * COUNTERS, dtype=np.uint8)
-    for r in summed.groupBy((F.col("at") / _BLOCK).cast("int").alias("of")).applyInArrow(steps, "block int, steps binary").collect():
+    summed = texts.mapInArrow(count, "block int, at binary, n binary").repartition(2 * COUNTERS // _BLOCK, "block")
+    for r in summed.mapInArrow(steps, "block int, steps binary").collect():
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["steps"], dtype=np.uint8)
     return out
 
@@ -193,15 +197,37 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return x.filter("9 * i_a <= n_a").join(y.hint("merge"), met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _bits(keys: DataFrame) -> DataFrame:
+    """(block, bits): which remainders the keys have, a bit each; the table has BITS bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column("at").to_numpy()
+            for block in np.unique(at >> 19).tolist():
+                found.setdefault(block, np.zeros(1 << 19, dtype=np.uint8))[at[at >> 19 == block] & 0x7FFFF] = 1
+        for block, x in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()])], names=["block", "bits"])
+
+    at = keys.select(F.col("key").bitwiseAND(F.lit(BITS - 1)).alias("at")).distinct()
+    return written(at.repartition(BITS >> 19, F.shiftright("at", 19)).mapInArrow(run, "block long, bits binary"))
+
+
+def _with_bit(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows whose key has its bit; others may pass too."""
+    at = F.col("row").bitwiseAND(F.lit(BITS - 1))
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at, 3).bitwiseAND(F.lit(0xFFFF)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.shiftright(at, 19) == F.col("block")).filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("block", "bits")
+
+
 def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(node, members): the word hashes of every set in a pair, read again from the place where it stands first."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.select("node", "place.doc_id", "place.key", "place.line").join(ends, "node", "left_semi"))
-    few = wanted.count() <= FEW
-    lists = wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "node")).alias("asked"))
-    lists = F.broadcast(lists) if few else lists.hint("shuffle_hash")
+    wanted = nodes.select("node", "place.doc_id", "place.key", "place.line").join(ends, "node", "left_semi")
+    lists = written(wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "node")).alias("asked")))
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("row"), F.col(text).alias("text"))
-    texts = slim.join(lists, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "asked.line", "asked.node")
+    same = (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    texts = _with_bit(slim, _bits(lists)).join(lists.hint("shuffle_hash"), same).select("text", "asked.line", "asked.node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
@@ -254,7 +280,9 @@ def links(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         return left.select(["a", "b"]).filter(pa.array(_reaching(left, right) if left.num_rows else np.empty(0, dtype=bool)))
 
-    return placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "a long, b long")
+    found = written(placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "a long, b long"))
+    dropped(pairs, led, placed)
+    return found
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +291,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     nodes = written(_nodes(wide))
     lines = written(wide.select("doc_id", "key", "line", "high", "low"))
     dropped(wide)
-    found = written(links(df, nodes, id_col, text))
+    found = links(df, nodes, id_col, text)
     places = nodes.select("node", "place")
     both = found.join(places.withColumnsRenamed({"node": "a", "place": "place_a"}), "a").join(places.withColumnsRenamed({"node": "b", "place": "place_b"}), "b")
     sides = both.select(F.explode(F.array(F.struct(F.col("a").alias("node"), (F.col("place_a") > F.col("place_b")).alias("later")), F.struct(F.col("b").alias("node"), (F.col("place_b") > F.col("place_a")).alias("later")))).alias("x")).select("x.*")

@@ -237,3 +237,16 @@ def test_simhash_compares_all_chunks_of_a_long_list(spark):
     assert got == {(a, b) for a in range(90) for b in range(max(a + 1, 50), 90)} | {(a, b) for a in range(5) for b in range(a + 1, 5)}
     first = simhash._compared(simhash._dealt(lists, 20, True), 55, 2).collect()
     assert {n for n in range(90)} == {r.a for r in first if r.a == r.b}
+
+
+def test_line_dedup_of_short_lines_with_few_words(spark):
+    """Lines of few words, so that every prefix word is in many lines, and repeated rows without an id."""
+    rnd = random.Random(4)
+    lines = sorted({" ".join(sorted(rnd.sample("abcdefghij", rnd.randrange(4, 9)))) for _ in range(400)})
+    docs = [(n, "\n".join(lines[k : k + 3])) for n, k in enumerate(range(0, len(lines), 3))]
+    got = line_dedup.removals(spark.createDataFrame([*docs, (None, lines[0]), (None, lines[0])], "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in got if r.doc_id is not None} == brute_lines(docs)
+    sets = {line: set(line.split()) for line in lines}
+    linked = {x: sum(y != x and 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])) for y in lines) for x in lines}
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == {d: sum(linked[x] for x in t.split("\n")) for d, t in docs}
+    assert sorted((r.copy, list(r.removed_lines), r.n_links) for r in got if r.doc_id is None) == [(1, [0], linked[lines[0]]), (2, [0], linked[lines[0]])]
