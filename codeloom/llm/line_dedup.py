@@ -71,7 +71,7 @@ def _counters(texts: DataFrame) -> np.ndarray:
     """How many words fall to each counter, as steps of their logarithm: 0 is none, 1 is one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * COUNTERS, dtype=np.uint64)
+        total = np.zeros(2 * COUNTERS, dtype=np.uint32)  # a task's text has fewer words than this holds
         for b in _parts(batches):
             hashes, _ = words.word_hashes(b.column(0).to_pylist())
             for row in range(2):
@@ -85,7 +85,7 @@ def _counters(texts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                total.setdefault(block, np.zeros(_BLOCK, dtype=np.uint64))[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint64)
+                total.setdefault(block, np.zeros(_BLOCK, dtype=np.uint64))[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint32)
         for block, n in total.items():
             out = np.where(n > 0, np.minimum(1 + np.round(4 * np.log2(np.maximum(n, 1))), 255), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()])], names=["block", "steps"])
@@ -221,33 +221,34 @@ def _with_bit(rows: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(node, members): the word hashes of every set in a pair, read again from the place where it stands first."""
+    """(node, doc_id, key, line, members): the word hashes of every set in a pair, read again from the place where it stands first, and that place."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "place.doc_id", "place.key", "place.line").join(ends, "node", "left_semi")
     lists = written(wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "node")).alias("asked")))
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     same = (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    texts = _with_bit(slim, _bits(lists)).join(lists.hint("shuffle_hash"), same).select("text", "asked.line", "asked.node")
+    texts = _with_bit(slim, _bits(lists)).join(lists.hint("shuffle_hash"), same).select("text", "asked.line", "asked.node", "doc_id", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             cut = [t.split("\n") for t in b.column(0).to_pylist()]
             sets = _Sets([lines[k] for lines, some in zip(cut, b.column(1).to_pylist(), strict=True) for k in some])
             ends_ = pa.array(np.concatenate([sets.starts, [len(sets.hashes)]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(2).flatten(), pa.ListArray.from_arrays(ends_, pa.array(sets.hashes.view(np.int64)))], names=["node", "members"])
+            row = pa.array(np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(2).flatten(), b.column(3).take(row), b.column(4).take(row), b.column(1).flatten(), pa.ListArray.from_arrays(ends_, pa.array(sets.hashes.view(np.int64)))],
+                names=["node", "doc_id", "key", "line", "members"],
+            )
 
-    return texts.mapInArrow(run, "node long, members array<long>")
+    return texts.mapInArrow(run, "node long, doc_id long, key long, line int, members array<long>")
 
 
-def _reaching(pairs: pa.Table, members: pa.Table) -> np.ndarray:
-    """For each pair (a, b) whether nine times the words in common reach four times the words of both sets, which members has."""
-    sets, by = np.unique(members.column("set").to_numpy(), return_index=True)  # repeated rows give a set more than once
-    lists = members.column("members").take(pa.array(by)).combine_chunks()
+def _reaching(one: np.ndarray, two: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """For pairs of places in lists whether nine times the words in common reach four times the words of both."""
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     words_, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    has = np.sort(np.repeat(np.arange(len(sets)), sizes) * len(words_) + word)
-    one, two = (np.searchsorted(sets, pairs.column(c).to_numpy()) for c in ("a", "b"))
+    has = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(words_) + word)
     good = np.empty(len(one), dtype=bool)
     for at in range(0, len(one), 50_000):
         a, b = one[at : at + 50_000], two[at : at + 50_000]
@@ -260,27 +261,43 @@ def _reaching(pairs: pa.Table, members: pa.Table) -> np.ndarray:
     return good
 
 
-def links(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(a, b): every pair of different sets with the similarity.
+def linked(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(node, links, later): how many other nodes each one reaches the similarity with, and whether one of them stands earlier.
 
     Pairs of one cluster go to one bucket, by the least neighbour of either set, and take each set there once; a cluster of
-    more than BUCKET pairs is dealt over several buckets.
+    more than BUCKET pairs is dealt over several buckets. A bucket sends back a row for a set, not for a pair.
     """
     pairs = written(candidates(nodes))
     buckets = max(1, -(-pairs.count() // BUCKET))
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("b").alias("near")), F.struct(F.col("b").alias("set"), F.col("a").alias("near")))).alias("x")).select("x.*")
-    near = sides.groupBy("set").agg(F.least(F.min("near"), F.col("set")).alias("near"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("b").alias("near")), F.struct(F.col("b").alias("set"), F.col("a").alias("near"))))
+    near = pairs.select(sides.alias("x")).groupBy("x.set").agg(F.least(F.min("x.near"), F.col("set")).alias("near"))
     led = written(pairs.join(near.withColumnsRenamed({"set": "a", "near": "near_a"}), "a").join(near.withColumnsRenamed({"set": "b", "near": "near_b"}), "b").select("a", "b", F.least("near_a", "near_b").alias("lead")))
     large = led.groupBy("lead").count().filter(F.col("count") > BUCKET).select("lead", F.ceil(F.col("count") / BUCKET).alias("parts"))
     part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)).cast("long"))
     placed = written(led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", part), F.lit(buckets)).alias("bucket")))
     members = _members(df, nodes, pairs, id_col, text).withColumnRenamed("node", "set")
-    needed = placed.select(F.col("bucket").alias("of"), F.explode(F.array("a", "b")).alias("set")).distinct().join(members, "set")
+    goes = placed.select("bucket", F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.collect_set("bucket").alias("to"))
+    needed = members.join(goes, "set").select(F.explode("to").alias("of"), *members.columns)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        return left.select(["a", "b"]).filter(pa.array(_reaching(left, right) if left.num_rows else np.empty(0, dtype=bool)))
-
-    found = written(placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "a long, b long"))
+        if not left.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "later": pa.array([], pa.bool_())})
+        sets, by = np.unique(right.column("set").to_numpy(), return_index=True)  # repeated rows give a set more than once
+        right = right.take(pa.array(by))
+        a, b = (np.searchsorted(sets, left.column(c).to_numpy()) for c in ("a", "b"))
+        good = _reaching(a, b, right.column("members").combine_chunks())
+        a, b = a[good], b[good]
+        doc = right.column("doc_id").combine_chunks()
+        order = np.lexsort((right.column("line").to_numpy(), right.column("key").to_numpy(), doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False)))
+        rank = np.empty(len(sets), dtype=np.int64)
+        rank[order] = np.arange(len(sets))
+        n = np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
+        later = np.bincount(np.where(rank[a] > rank[b], a, b), minlength=len(sets)) > 0
+        some = np.flatnonzero(n)
+        return pa.table({"node": sets[some], "links": n[some], "later": later[some]})
+
+    sums = placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "node long, links long, later boolean")
+    found = written(sums.groupBy("node").agg(F.sum("links").alias("links"), F.max("later").alias("later")))
     dropped(pairs, led, placed)
     return found
 
@@ -291,12 +308,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     nodes = written(_nodes(wide))
     lines = written(wide.select("doc_id", "key", "line", "high", "low"))
     dropped(wide)
-    found = links(df, nodes, id_col, text)
-    places = nodes.select("node", "place")
-    both = found.join(places.withColumnsRenamed({"node": "a", "place": "place_a"}), "a").join(places.withColumnsRenamed({"node": "b", "place": "place_b"}), "b")
-    sides = both.select(F.explode(F.array(F.struct(F.col("a").alias("node"), (F.col("place_a") > F.col("place_b")).alias("later")), F.struct(F.col("b").alias("node"), (F.col("place_b") > F.col("place_a")).alias("later")))).alias("x")).select("x.*")
-    linked = sides.groupBy("node").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    known = nodes.select("node", "high", "low", "place").join(linked, "node", "left").drop("node")
+    found = linked(df, nodes, id_col, text)
+    known = nodes.select("node", "high", "low", "place").join(found, "node", "left").drop("node")
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")
     each = lines.join(known, ["high", "low"]).select("doc_id", "key", F.struct("line", (F.coalesce("later", F.lit(False)) | (here != F.col("place"))).alias("gone"), F.coalesce("links", F.lit(0)).alias("links")).alias("x"))
     listed = each.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("x")).alias("xs"))
