@@ -39,7 +39,7 @@ from codeloom.llm.common import dropped, free_name, written
 
 SIMILAR = 0.8
 #: Candidate pairs that are verified in one call, about.
-BUCKET = 20_000
+BUCKET = 100_000
 #: Counters in each of two rows, a power of two. Each takes a byte on its way to the tasks: 4 MB together, whatever the input.
 COUNTERS = 1 << 21
 #: Bits of a filter of row keys, a power of two; 2 MB are sent to the tasks, whatever the input.
@@ -250,31 +250,34 @@ def _reaching(one: np.ndarray, two: np.ndarray, lists: pa.ListArray) -> np.ndarr
     words_, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     has = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(words_) + word)
     good = np.empty(len(one), dtype=bool)
-    for at in range(0, len(one), 50_000):
-        a, b = one[at : at + 50_000], two[at : at + 50_000]
+    for at in range(0, len(one), 20_000):
+        a, b = one[at : at + 20_000], two[at : at + 20_000]
         first = np.cumsum(sizes[a]) - sizes[a]
         each = np.arange(sizes[a].sum()) - np.repeat(first, sizes[a]) + np.repeat(starts[a], sizes[a])
         asked = np.repeat(b, sizes[a]) * len(words_) + word[each]
         place = np.minimum(np.searchsorted(has, asked), len(has) - 1)
         both = np.add.reduceat(has[place] == asked, first, dtype=np.int64)
-        good[at : at + 50_000] = 9 * both >= 4 * (sizes[a] + sizes[b])
+        good[at : at + 20_000] = 9 * both >= 4 * (sizes[a] + sizes[b])
     return good
 
 
 def linked(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
     """(node, links, later): how many other nodes each one reaches the similarity with, and whether one of them stands earlier.
 
-    Pairs of one cluster go to one bucket, by the least neighbour of either set, and take each set there once; a cluster of
-    more than BUCKET pairs is dealt over several buckets. A bucket sends back a row for a set, not for a pair.
+    Pairs of one cluster go to one bucket, by the least set within two links, and take each set there once; a cluster of more
+    than BUCKET pairs is dealt over a square of buckets, a set to those of its row and column. A bucket sends back a row for
+    a set, not for a pair.
     """
     pairs = written(candidates(nodes))
     buckets = max(1, -(-pairs.count() // BUCKET))
-    sides = F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("b").alias("near")), F.struct(F.col("b").alias("set"), F.col("a").alias("near"))))
-    near = pairs.select(sides.alias("x")).groupBy("x.set").agg(F.least(F.min("x.near"), F.col("set")).alias("near"))
-    led = written(pairs.join(near.withColumnsRenamed({"set": "a", "near": "near_a"}), "a").join(near.withColumnsRenamed({"set": "b", "near": "near_b"}), "b").select("a", "b", F.least("near_a", "near_b").alias("lead")))
-    large = led.groupBy("lead").count().filter(F.col("count") > BUCKET).select("lead", F.ceil(F.col("count") / BUCKET).alias("parts"))
-    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)).cast("long"))
-    placed = written(led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", part), F.lit(buckets)).alias("bucket")))
+    least = lambda pairs, x, y: pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col(x).alias("near")), F.struct(F.col("b").alias("set"), F.col(y).alias("near")))).alias("x")).groupBy("x.set").agg(F.least(F.min("x.near"), F.col("set")).alias("near"))
+    near = least(pairs, "b", "a")
+    led = written(pairs.join(near.withColumnsRenamed({"set": "a", "near": "near_a"}), "a").join(near.withColumnsRenamed({"set": "b", "near": "near_b"}), "b").select("a", "b", F.least("near_a", "near_b").alias("near")))
+    led = written((one := led).join(least(one, "near", "near").withColumnsRenamed({"set": "a", "near": "lead"}), "a").select("a", "b", "lead"))
+    large = led.groupBy("lead").count().filter(F.col("count") > BUCKET).select("lead", F.ceil(F.sqrt(F.col("count") / BUCKET)).alias("parts"))
+    part = [F.pmod(F.xxhash64(side), F.coalesce("parts", F.lit(1)).cast("long")) for side in ("a", "b")]
+    placed = written(led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", *part), F.lit(buckets)).alias("bucket")))
+    dropped(one)
     members = _members(df, nodes, pairs, id_col, text).withColumnRenamed("node", "set")
     goes = placed.select("bucket", F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.collect_set("bucket").alias("to"))
     needed = members.join(goes, "set").select(F.explode("to").alias("of"), *members.columns)
