@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 #: so what lies between two such places can be encoded once and remembered.
 WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Recent chunks that a worker remembers, and as many older ones; which are forgotten changes no result.
-REMEMBERED = 250_000
+#: Bytes, about, of recent chunks that a worker remembers, and as many of older ones; which are forgotten changes no result.
+REMEMBERED = 96_000_000
+#: What a remembered chunk takes besides its characters and ids.
+_EACH = 250
 
 
 def byte_chars() -> list[str]:
@@ -57,7 +59,7 @@ class ByteBPE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.chars = byte_chars()
         self.to_char = {b: ord(c) for b, c in enumerate(self.chars)}
-        self.of_id = {i: token for token, i in ranks.items()}
+        self.to_byte = {c: b for b, c in self.to_char.items()}
         self.pattern = regex.compile(pattern)
         word = lambda token: "".join(self.chars[b] for b in token)
         merges = []
@@ -66,6 +68,8 @@ class ByteBPE:
             merges += [(word(token[:i]), word(token[i:])) for _, _, i in sorted(cuts)]
         self.model = models.BPE(vocab={word(t): i for t, i in ranks.items()}, merges=merges)
         self.tokenizer = Tokenizer(self.model)
+        self.shown = [self.tokenizer.id_to_token(i) for i in range(max(ranks.values(), default=-1) + 1)]  # None: no such id
+        self.held = 0
         self.recent: dict[str, tuple[bytes, int, bytes]] = {}
         self.older: dict[str, tuple[bytes, int, bytes]] = {}
 
@@ -77,26 +81,28 @@ class ByteBPE:
         return [i for ids in self.ids_of(self.pattern.findall(text or "")) for i in ids]
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join([self.of_id[i] for i in ids])
+        """The characters of the tokens, each turned back to its byte. Characters of a text that are split over tokens come out whole."""
+        return "".join([self.shown[i] for i in ids]).translate(self.to_byte).encode("latin-1")
 
     def offsets(self, text: str | None, ids: list[int]) -> list[tuple[int, int]]:
         """For each token the characters of the text that its bytes lie in, end not included; a character split over tokens belongs to each."""
         starts = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text or "")]
         out, at = [], 0
         for i in ids:
-            end = at + len(self.of_id[i])
+            end = at + len(self.shown[i])  # a character for each byte
             out.append((bisect_right(starts, at) - 1, bisect_right(starts, end - 1)))
             at = end
         return out
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes chunks that are not remembered, their distinct pieces in one call."""
-        if len(self.recent) >= REMEMBERED:
-            self.recent, self.older = {}, self.recent
+        if self.held >= REMEMBERED:
+            self.recent, self.older, self.held = {}, self.recent, 0
         todo = []
         for c in chunks.difference(self.recent):
             if (got := self.older.get(c)) is not None:
                 self.recent[c] = got
+                self.held += _EACH + 2 * len(c) + len(got[0])
             else:
                 todo.append(c)
         cut = [self.pattern.findall(c) for c in todo]
@@ -105,6 +111,7 @@ class ByteBPE:
         for c, pieces in zip(todo, cut, strict=True):
             got = [i for p in pieces for i in ids[p]]
             self.recent[c] = (",".join(map(str, got)).encode(), len(got), self.decode_bytes(got))
+            self.held += _EACH + 2 * len(c) + len(self.recent[c][0])
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text the count of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of what the ids decode to."""
