@@ -69,7 +69,7 @@ _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Tried in this order; a mention's kind is the first that matches all of it.
 KINDS = {
     "secret": rf"{_EDGE}[0-9a-fA-F]{{32,128}}{_END}",
-    "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}_+-](?:[\p{L}\p{N}._+-]*+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}_+-](?:[\p{L}\p{N}._+-]*+)@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
     "card": rf"{_EDGE}(?:\d{{4}}[ -]?){{3}}\d{{1,7}}{_END}",
     "ssn": rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}{_END}",
