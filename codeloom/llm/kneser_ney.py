@@ -1,21 +1,21 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams.
 
 The model is trained on trusted text (labels: quality 1, not toxic), one model for
-each language, on all of it but a tenth that is held out. Counts are gathered in
+each language, on all of it but a fifth that is held out. Counts are gathered in
 blocks of documents, combined there and summed over shards of n-grams. Every
 distinct n-gram of the whole corpus is resolved to its probability by joins with the
 sharded counts, the answers go back to the blocks that asked for them, and each
 document gets its perplexity in bytes. A language's threshold is a quantile of the
-perplexities of its held-out trusted documents (of all its trusted ones where fewer
-than LEAST are held out); a document above it is rejected.
+perplexities of its held-out trusted documents, at every size of the input; a document
+above it is rejected.
 
 What is counted and joined are distinct n-grams of blocks, so copies and frequent
 n-grams weigh no more than rare ones, and texts cross the network once for counting
 and once for scoring, in blocks of bounded bytes.
 
 Null or empty texts have no perplexity and are rejected. A null language is a
-language of its own. A language without trusted text has no threshold and its
-documents are kept. Documents without a label are scored like others; repeated
+language of its own. A language without held-out trusted text has no threshold and
+its documents are kept. Documents without a label are scored like others; repeated
 labels are trusted if all of them are. Null ids have no label. Repeated rows are
 scored each. Very long texts are scored whole. Empty tables give empty tables. Where
 a column of the input has the name of a result, the result replaces it.
@@ -37,8 +37,7 @@ BLOCK_BYTES = 12_000_000
 QUANTILE = 0.998
 #: What a threshold lies above its quantile, of the logarithm of perplexity.
 SLACK = 0.1
-HELD_OUT = 10
-LEAST = 1000
+HELD_OUT = 5
 #: Rows of discounts or of single bytes that may be broadcast; beyond that they are joined like the rest.
 FEW = 10_000
 #: Perplexities are compared in steps of this much of their natural logarithm.
@@ -237,10 +236,9 @@ def scored(docs: DataFrame, told: DataFrame, blocks: int) -> DataFrame:
 
 
 def _thresholds(marked: DataFrame) -> DataFrame:
-    """(lang, limit): the step of log perplexity below which QUANTILE of a language's held-out trusted documents lie, and SLACK."""
+    """(lang, limit): the step of log perplexity below which QUANTILE of a language's held-out trusted documents lie, and SLACK. A language has one row for each step, however many documents."""
     held = Window.partitionBy("lang")
-    steps = marked.filter("trusted AND steps IS NOT NULL").groupBy("lang", "held", "steps").agg(F.count("*").alias("n")).withColumn("n_held", F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).over(held))
-    used = steps.filter((F.col("n_held") < LEAST) | F.col("held")).groupBy("lang", "steps").agg(F.sum("n").alias("n"))
+    used = marked.filter("trusted AND held AND steps IS NOT NULL").groupBy("lang", "steps").agg(F.count("*").alias("n"))
     share = F.sum("n").over(held.orderBy("steps")) / F.sum("n").over(held)
     return used.withColumn("share", share).filter(F.col("share") >= QUANTILE).groupBy("lang").agg((F.min("steps") + round(SLACK / STEP)).alias("limit"))
 
