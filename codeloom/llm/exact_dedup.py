@@ -12,8 +12,8 @@ code points stays, then the one with the smallest id (null ids come last).
 3. The winners of all salts are merged by digest and whole content.
 
 Content is a grouping key at each stage, so two contents with one digest never
-merge. Rows then find their group by digest; where a digest has several contents,
-by digest and content. Repeated rows (same id, same text) are one group; exactly
+merge. Rows then find their group by digest, as soon as it is known that each digest has
+one content; where a digest has several, by digest and content. Repeated rows (same id, same text) are one group; exactly
 one of them stays. An empty table gives an empty table.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import written
+from codeloom.llm.common import free_name, written
 
 SALTS = 16
 _TWO_64 = "18446744073709551616BD"
@@ -72,7 +72,7 @@ def _winners(found: DataFrame) -> DataFrame:
 def decisions(df: DataFrame, id_col: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """For each row: doc_id, keep_id, group_size, kept, text_sha256."""
     found = written(groups(df, id_col, text, digest).drop("content"))
-    several = found.groupBy("digest").agg(F.count("*").alias("contents")).filter("contents > 1").select("digest")
+    several = _several(found)
     rows = _prepared(df, id_col, text, digest)
     if several.isEmpty():
         slim = rows.drop("content") if digest is sha256 else rows.withColumn("sha", sha256(F.col("content"))).drop("content")
@@ -95,14 +95,28 @@ def _decided(rows: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
-def kept(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns."""
-    from codeloom.llm.common import free_name
+def _several(found: DataFrame) -> DataFrame:
+    """The digests that more than one content has."""
+    return found.groupBy("digest").agg(F.count("*").alias("contents")).filter("contents > 1").select("digest")
 
-    found = written(groups(df, id_col, text).drop("content"))
-    names = [free_name(df, f"kept_{x}") for x in ("digest", "n", "id", "time")]
-    d, n, i, t = names
-    tagged = df.withColumn(d, sha256(squashed(F.col(text)))).withColumn(n, F.coalesce(F.char_length(text), F.lit(0)).cast("long"))
-    win = _winners(found).select(F.col("digest").alias(d), F.col("keep_n").alias(n), F.coalesce("keep_id", F.expr(f"{_LAST_ID}L")).alias(i))
-    out = tagged.withColumn(i, F.coalesce(F.col(id_col).cast("long"), F.expr(f"{_LAST_ID}L"))).join(win, [d, n, i], "left_semi")
-    return out.dropDuplicates([d, n, i]).select(*df.columns)
+
+def kept(df: DataFrame, id_col: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
+    """The rows of df that stay, with all their columns.
+
+    Rows find the winner of their text by digest, length and id; where several contents have one digest, by content too.
+    """
+    names = [free_name(df, f"kept_{x}") for x in ("digest", "n", "id", "content")]
+    d, n, i, c = names
+    no_id = F.expr(f"{_LAST_ID}L")
+    found = written(groups(df, id_col, text, digest).drop("content"))
+    content = squashed(F.col(text))
+    tagged = df.withColumn(d, digest(content)).withColumn(n, F.coalesce(F.char_length(text), F.lit(0)).cast("long")).withColumn(i, F.coalesce(F.col(id_col).cast("long"), no_id))
+    win = lambda groups_, *more: _winners(groups_).select(F.col("digest").alias(d), F.col("keep_n").alias(n), F.coalesce("keep_id", no_id).alias(i), *more)
+    shared = _several(found)
+    if shared.isEmpty():
+        return tagged.join(win(found), [d, n, i], "left_semi").dropDuplicates([d, n, i]).select(*df.columns)
+    mark = shared.withColumnRenamed("digest", d)
+    alone = tagged.join(mark, d, "left_anti").join(win(found), [d, n, i], "left_semi").dropDuplicates([d, n, i]).select(*df.columns)
+    contents = groups(df.select(id_col, text), id_col, text, digest).join(shared, "digest", "left_semi")
+    by_content = tagged.join(mark, d, "left_semi").withColumn(c, content).join(win(contents, F.col("content").alias(c)), [d, n, i, c], "left_semi")
+    return alone.unionByName(by_content.dropDuplicates([d, n, i, c]).select(*df.columns))
