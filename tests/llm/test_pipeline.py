@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import kneser_ney as K
 
+from .helpers import edge_docs, no_docs
+
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
@@ -27,6 +29,22 @@ def test_run(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.agg(F.count("*")).first()[0] > 50
 
 
+def test_stages_on_edge_cases(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables, for each stage."""
+    sf, stages = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    ids = {name: sorted((r.doc_id for r in stages[name](spark, edge_docs(spark), sf).select("doc_id").collect()), key=repr) for name in ("quality", "exact_dedup", "near_dedup")}
+    assert set(ids["quality"]) <= {1, 4, 5, None} and ids["exact_dedup"] == ids_of(1, 4, 6, None) and ids["near_dedup"] == ids_of(1, 2, 3, 4, 6, None)
+    mixed = stages["mixing"](spark, edge_docs(spark), sf)
+    assert mixed.columns == edge_docs(spark).columns and not {2, 3, 6} & {r.doc_id for r in mixed.collect()}
+    assert stages["tokens"](spark, edge_docs(spark), sf).count() == 8
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs(spark), sf).collect() == []
+
+
+def ids_of(*ids):
+    return sorted(ids, key=repr)
+
+
 def brute_quality(docs, labels, held):
     """Kept ids by a model computed with dictionaries."""
     trusted = {}
@@ -68,7 +86,7 @@ def brute_quality(docs, labels, held):
             steps[r.doc_id] = -sum(math.log(p(g, bits)) for g in all_) / len(all_) / K.STEP if all_ else None
         sure = [i for i in steps if trusted.get(i) and steps[i] is not None]
         own = [i for i in sure if held[i]]
-        used = sorted(math.floor(steps[i]) for i in (own if len(own) >= K.LEAST else sure))
+        used = sorted(math.floor(steps[i]) for i in own)
         limit = used[math.ceil(K.QUANTILE * len(used) - 1e-9) - 1] + round(K.SLACK / K.STEP) if used else math.inf
         kept |= {i for i, s in steps.items() if s is not None and math.floor(s) <= limit}
     return kept

@@ -258,3 +258,29 @@ def test_mixing_repeats_rows_with_null_and_repeated_ids(spark):
     for r in out.collect():
         got[r.doc_id, r.source] += len(r.text.split())
     assert got == want and got[None, "books"] > 0 and out.columns == df.columns
+
+
+def test_exact_dedup_keeps_texts_that_share_a_digest(spark):
+    """With a digest of the first letter alone, content tells texts apart."""
+    rows = [(1, "ab"), (2, "a b"), (3, "ac"), (4, "a c "), (5, None), (6, ""), (None, "ac"), (7, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = exact_dedup.kept(df, digest=lambda c: F.substring(c, 1, 1))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 7] == sorted(r.doc_id for r in exact_dedup.kept(df).collect())
+
+
+def test_pii_takes_very_long_texts(spark):
+    texts = ["a@b" + ".c" * 3_000, "x" * 1_000_000, "1 " * 300_000, "Mr " + "A" * 3_000, "a" * 3_000 + "@b.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_pii(df, "k").collect()}
+    assert got[0].n_replaced == 1 and got[1].text == texts[1] and len(got) == 5
+
+
+def test_bpe_decodes_by_its_table_of_characters():
+    """A vocabulary of single bytes and a few merges: every byte comes back, split characters too."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, "é".encode(): 257, b" a": 258}
+    coder = bpe.ByteBPE(ranks, public_tokenizers.PATTERN)
+    assert coder.decode_bytes(range(256)) == bytes(range(256))
+    for text in ("ab é €uro \U0001f600", "", "\x00\x7f\xa0"):
+        ids = coder.encode(text)
+        assert coder.decode_bytes(ids) == text.encode() and len(coder.offsets(text, ids)) == len(ids)
+    assert len(coder.encode("€")) == 3 and coder.offsets("€", coder.encode("€")) == [(0, 1)] * 3
