@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from codeloom import defaults as D
 from codeloom.functions import text as T
 
-PARAGRAPH = r"(?:\r?\n[ \t]*){2,}"
+#: Possessive, so that long runs of blank lines need no stack.
+PARAGRAPH = r"(?:\r?\n[ \t]*+){2,}+"
 
 
 def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, n, start, end, content): pieces up to and with each run of blank lines; offsets in bytes. Joined they are the text."""
-    marks = F.split(F.regexp_replace(F.col(text), f"({PARAGRAPH})", "$1\x00"), "\x00")
-    each = df.select(key, F.posexplode(marks).alias("n", "content")).filter("content <> ''")
+    nul, own, mark = F.lit("\x00"), F.lit("\x00\x01"), "\x00\x02"  # a NUL of the text is never taken for a mark
+    marks = F.split(F.regexp_replace(F.replace(F.col(text), nul, own), f"({PARAGRAPH})", f"$1{mark}"), mark)
+    pieces = F.transform(marks, lambda piece: F.replace(piece, own, nul))
+    each = df.select(key, F.posexplode(pieces).alias("n", "content")).filter("content <> ''")
     w = Window.partitionBy(key).orderBy("n")
     end = F.sum(F.octet_length("content")).over(w)
     return each.select(key, "n", (end - F.octet_length("content")).alias("start"), end.alias("end"), "content")

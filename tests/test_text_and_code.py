@@ -190,3 +190,15 @@ def test_member_cap_and_subtree(spark):
 def test_index_compaction(spark):
     rows = spark.createDataFrame([(0, True), (1, False), (2, False)], "chunk_id long, dead boolean")
     assert incremental.needs_compaction(rows) and incremental.live(rows).count() == 2
+
+
+def test_paragraphs_tile_any_text(spark):
+    from codeloom.operators import chunks
+
+    texts = ["a\0b\n\nc", "\n" * 1_000_000, "x\r\n \t\r\ny\n\n", "", None, "\0\1\0\2\n\n\0"]
+    got = chunks.paragraphs(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id").orderBy("id", "n").collect()
+    for n, text in enumerate(texts):
+        mine = [r for r in got if r.id == n]
+        assert "".join(r.content for r in mine) == (text or "")
+        assert [r.start for r in mine] == [0, *[r.end for r in mine]][: len(mine)]
+    assert [r.content for r in got if r.id == 0] == ["a\0b\n\n", "c"]
