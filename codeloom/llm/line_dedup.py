@@ -40,12 +40,15 @@ from codeloom.llm.common import dropped, free_name, written
 SIMILAR = 0.8
 #: Candidate pairs that are verified in one call, about.
 BUCKET = 100_000
+#: Words of the two sets of pairs that are compared at a time, about; a worker holds some 50 bytes for each beside its bucket.
+WORDS = 1 << 18
 #: Counters in each of two rows, a power of two. Each takes a byte on its way to the tasks: 4 MB together, whatever the input.
 COUNTERS = 1 << 21
 #: Bits of a filter of row keys, a power of two; 2 MB are sent to the tasks, whatever the input.
 BITS = 1 << 24
 _BLOCK = 1 << 16
 _SLICE = 1024
+_COUNTED = 128
 
 
 def _needed(n):
@@ -72,7 +75,7 @@ def _counters(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * COUNTERS, dtype=np.uint32)  # a task's text has fewer words than this holds
-        for b in _parts(batches):
+        for b in _parts(batches, _COUNTED):
             hashes, _ = words.word_hashes(b.column(0).to_pylist())
             for row in range(2):
                 np.add.at(total, _counter(hashes, row), 1)
@@ -184,17 +187,21 @@ def _nodes(wide: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): distinct pairs of nodes that share a prefix word and pass the filters of length, place and parities; a has no more words than b."""
+    """(a, b): distinct pairs of nodes that share a prefix word and pass the filters of length, place and parities; a has no more words than b.
+
+    That a word stands among the first n / 9 + 1 of the shorter set is asked together with the other set's length, which is never
+    negative: a condition on one side alone would go below its exchange, and the same words would be sent twice.
+    """
     tokens = nodes.filter("n > 3").select("node", "n", "parities", F.explode("prefix").alias("x"))
     tokens = tokens.select(F.shiftright("x", 32).cast("int").alias("word"), "node", "n", F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), "parities")
     x, y = (tokens.select(*[F.col(c).alias(f"{c}_{side}") for c in tokens.columns]) for side in "ab")
     both = F.col("n_a") + F.col("n_b")
     met = (
-        (F.col("word_a") == F.col("word_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
+        (F.col("word_a") == F.col("word_b")) & (F.least(F.col("n_a") - 9 * F.col("i_a"), F.col("n_b")) >= 0) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
         & (5 * F.col("n_a") >= 4 * F.col("n_b")) & (9 * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= 4 * both)
         & (9 * F.bit_count(F.col("parities_a").bitwiseXOR(F.col("parities_b"))) <= both)
     )
-    return x.filter("9 * i_a <= n_a").join(y.hint("merge"), met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return x.join(y.hint("merge"), met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _bits(keys: DataFrame) -> DataFrame:
@@ -220,55 +227,63 @@ def _with_bit(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), F.shiftright(at, 19) == F.col("block")).filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("block", "bits")
 
 
-def _members(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(node, doc_id, key, line, members): the word hashes of every set in a pair, read again from the place where it stands first, and that place."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "place.doc_id", "place.key", "place.line").join(ends, "node", "left_semi")
-    lists = written(wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "node")).alias("asked")))
+def _members(df: DataFrame, nodes: DataFrame, goes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(set, to, doc_id, key, line, members): the word hashes of every set that goes to a bucket, read again from the place where it stands first, and that place."""
+    wanted = nodes.select(F.col("node").alias("set"), "place.doc_id", "place.key", "place.line").join(goes, "set")
+    lists = written(wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "set", "to")).alias("asked")))
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     same = (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    texts = _with_bit(slim, _bits(lists)).join(lists.hint("shuffle_hash"), same).select("text", "asked.line", "asked.node", "doc_id", "key")
+    bits = _bits(lists)
+    texts = _with_bit(slim, bits).join(lists.hint("shuffle_hash"), same).select("text", "asked.line", "asked.set", "asked.to", "doc_id", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             cut = [t.split("\n") for t in b.column(0).to_pylist()]
             sets = _Sets([lines[k] for lines, some in zip(cut, b.column(1).to_pylist(), strict=True) for k in some])
-            ends_ = pa.array(np.concatenate([sets.starts, [len(sets.hashes)]]).astype(np.int32))
+            ends = pa.array(np.concatenate([sets.starts, [len(sets.hashes)]]).astype(np.int32))
             row = pa.array(np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(2).flatten(), b.column(3).take(row), b.column(4).take(row), b.column(1).flatten(), pa.ListArray.from_arrays(ends_, pa.array(sets.hashes.view(np.int64)))],
-                names=["node", "doc_id", "key", "line", "members"],
+                [b.column(2).flatten(), b.column(3).flatten(), b.column(4).take(row), b.column(5).take(row), b.column(1).flatten(), pa.ListArray.from_arrays(ends, pa.array(sets.hashes.view(np.int64)))],
+                names=["set", "to", "doc_id", "key", "line", "members"],
             )
 
-    return texts.mapInArrow(run, "node long, doc_id long, key long, line int, members array<long>")
+    out = written(texts.mapInArrow(run, "set long, to array<long>, doc_id long, key long, line int, members array<long>"))
+    dropped(lists, bits)
+    return out
 
 
-def _reaching(one: np.ndarray, two: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+def _reaching(one: np.ndarray, two: np.ndarray, lists: pa.ListArray, at_once: int = WORDS) -> np.ndarray:
     """For pairs of places in lists whether nine times the words in common reach four times the words of both."""
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    words_, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    has = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(words_) + word)
+    starts, flat = np.cumsum(sizes) - sizes, lists.flatten().to_numpy()
+    order = np.argsort(one, kind="stable")  # pairs of one set come together, so a slice of pairs has few sets
+    ends = np.cumsum((sizes[one] + sizes[two])[order])
     good = np.empty(len(one), dtype=bool)
-    for at in range(0, len(one), 20_000):
-        a, b = one[at : at + 20_000], two[at : at + 20_000]
-        first = np.cumsum(sizes[a]) - sizes[a]
-        each = np.arange(sizes[a].sum()) - np.repeat(first, sizes[a]) + np.repeat(starts[a], sizes[a])
-        asked = np.repeat(b, sizes[a]) * len(words_) + word[each]
-        place = np.minimum(np.searchsorted(has, asked), len(has) - 1)
-        both = np.add.reduceat(has[place] == asked, first, dtype=np.int64)
-        good[at : at + 20_000] = 9 * both >= 4 * (sizes[a] + sizes[b])
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(ends, at_once + (ends[at - 1] if at else 0), "right")))
+        some, k = order[at:to], to - at
+        sets, place = np.unique(np.concatenate([one[some], two[some]]), return_inverse=True)
+        a, b, n = place[:k], place[k:], sizes[sets]
+        first = np.cumsum(n) - n
+        words_, word = np.unique(flat[np.arange(n.sum()) + np.repeat(starts[sets] - first, n)], return_inverse=True)
+        has = np.repeat(np.arange(len(sets)) * len(words_), n) + word
+        has.sort()
+        begin = np.cumsum(n[a]) - n[a]
+        asked = np.repeat(b * len(words_), n[a]) + word[np.arange(n[a].sum()) + np.repeat(first[a] - begin, n[a])]
+        both = np.add.reduceat(has[np.minimum(np.searchsorted(has, asked), len(has) - 1)] == asked, begin, dtype=np.int64)
+        good[some] = 9 * both >= 4 * (n[a] + n[b])
+        at = to
     return good
 
 
-def linked(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
+def linked(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(node, links, later): how many other nodes each one reaches the similarity with, and whether one of them stands earlier.
 
     Pairs of one cluster go to one bucket, by the least set within two links, and take each set there once; a cluster of more
     than BUCKET pairs is dealt over a square of buckets, a set to those of its row and column. A bucket sends back a row for
     a set, not for a pair.
     """
-    pairs = written(candidates(nodes))
     buckets = max(1, -(-pairs.count() // BUCKET))
     least = lambda pairs, x, y: pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col(x).alias("near")), F.struct(F.col("b").alias("set"), F.col(y).alias("near")))).alias("x")).groupBy("x.set").agg(F.least(F.min("x.near"), F.col("set")).alias("near"))
     near = least(pairs, "b", "a")
@@ -278,18 +293,18 @@ def linked(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame
     part = [F.pmod(F.xxhash64(side), F.coalesce("parts", F.lit(1)).cast("long")) for side in ("a", "b")]
     placed = written(led.join(large, "lead", "left").select("a", "b", F.pmod(F.xxhash64("lead", *part), F.lit(buckets)).alias("bucket")))
     dropped(one)
-    members = _members(df, nodes, pairs, id_col, text).withColumnRenamed("node", "set")
     goes = placed.select("bucket", F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.collect_set("bucket").alias("to"))
-    needed = members.join(goes, "set").select(F.explode("to").alias("of"), *members.columns)
+    members = _members(df, nodes, goes, id_col, text)
+    needed = members.select(F.explode("to").alias("of"), "set", "doc_id", "key", "line", "members")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "later": pa.array([], pa.bool_())})
         sets, by = np.unique(right.column("set").to_numpy(), return_index=True)  # repeated rows give a set more than once
-        right = right.take(pa.array(by))
         a, b = (np.searchsorted(sets, left.column(c).to_numpy()) for c in ("a", "b"))
-        good = _reaching(a, b, right.column("members").combine_chunks())
+        good = _reaching(by[a], by[b], right.column("members").combine_chunks())
         a, b = a[good], b[good]
+        right = right.select(["doc_id", "key", "line"]).take(pa.array(by))
         doc = right.column("doc_id").combine_chunks()
         order = np.lexsort((right.column("line").to_numpy(), right.column("key").to_numpy(), doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False)))
         rank = np.empty(len(sets), dtype=np.int64)
@@ -301,17 +316,21 @@ def linked(df: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame
 
     sums = placed.groupBy("bucket").cogroup(needed.groupBy("of")).applyInArrow(compare, "node long, links long, later boolean")
     found = written(sums.groupBy("node").agg(F.sum("links").alias("links"), F.max("later").alias("later")))
-    dropped(pairs, led, placed)
+    dropped(led, placed, members)
     return found
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: doc_id, row_key, copy (from 1, of repeated rows), n_lines (those with words), removed_lines (numbers from 0), n_removed, n_links (of its lines to different lines)."""
     wide = written(_lines(df, id_col, text))
-    nodes = written(_nodes(wide))
+    full = written(_nodes(wide))
     lines = written(wide.select("doc_id", "key", "line", "high", "low"))
     dropped(wide)
-    found = linked(df, nodes, id_col, text)
+    pairs = written(candidates(full))
+    nodes = written(full.select("node", "high", "low", "place"))
+    dropped(full)
+    found = linked(df, nodes, pairs, id_col, text)
+    dropped(pairs)
     known = nodes.select("node", "high", "low", "place").join(found, "node", "left").drop("node")
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line")
     each = lines.join(known, ["high", "low"]).select("doc_id", "key", F.struct("line", (F.coalesce("later", F.lit(False)) | (here != F.col("place"))).alias("gone"), F.coalesce("links", F.lit(0)).alias("links")).alias("x"))

@@ -34,7 +34,7 @@ class _Powers:
         if len(cls.up) < n:
             with np.errstate(over="ignore"):
                 for name, factor in (("up", _BASE), ("down", _INVERSE)):
-                    each = np.full(max(n, 2 * PIECE), factor, dtype=np.uint64)
+                    each = np.full(max(n, 2 * _CHUNK, 2 * len(getattr(cls, name))), factor, dtype=np.uint64)
                     each[0] = 1
                     setattr(cls, name, np.cumprod(each, dtype=np.uint64))
         return cls.up[:n], cls.down[:n]

@@ -1,8 +1,10 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +252,30 @@ def test_line_dedup_of_short_lines_with_few_words(spark):
     linked = {x: sum(y != x and 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])) for y in lines) for x in lines}
     assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == {d: sum(linked[x] for x in t.split("\n")) for d, t in docs}
     assert sorted((r.copy, list(r.removed_lines), r.n_links) for r in got if r.doc_id is None) == [(1, [0], linked[lines[0]]), (2, [0], linked[lines[0]])]
+
+
+def test_line_dedup_verifies_in_little_memory():
+    """Pairs are compared in slices, so what is computed beside a bucket's sets doesn't grow with the bucket; slices give what whole sets give."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 2**62, (400, 100))
+    sets = [np.where(rnd.random(100) < 0.1 * (k % 3), rnd.integers(0, 2**62, 100), base[k % 400])[: 100 - k % 7] for k in range(8000)]
+    lists = pa.array([*sets, base.reshape(-1), base.reshape(-1)[:33_000]], pa.list_(pa.int64()))
+    a = rnd.integers(0, 8000, 30_000)
+    pairs = np.stack([np.append(a, 8000), np.append((a + 400 * rnd.integers(1, 20, 30_000)) % 8000, 8001)])
+    tracemalloc.start()
+    got = line_dedup._reaching(*pairs, lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = [set(x.tolist()) for x in [*sets, base.reshape(-1), base.reshape(-1)[:33_000]]]
+    want = [9 * len(whole[x] & whole[y]) >= 4 * (len(whole[x]) + len(whole[y])) for x, y in pairs.T.tolist()]
+    assert got.tolist() == want and 0 < sum(want) < len(want) and want[-1]
+    assert peak < 32 << 20
+
+
+def test_line_dedup_sends_prefix_words_once(spark):
+    """Both sides of the prefix join read one exchange; the members of sets go to their buckets without another."""
+    nodes = spark.createDataFrame([(n, 9, 0, [(7 << 32) | i for i in range(2)]) for n in range(50)], "node long, n int, parities long, prefix array<long>")
+    found = line_dedup.candidates(nodes)
+    assert found.count() == 50 * 49 // 2
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
