@@ -228,7 +228,7 @@ def _with_bit(rows: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def _members(df: DataFrame, nodes: DataFrame, goes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(set, to, doc_id, key, line, members): the word hashes of every set that goes to a bucket, read again from the place where it stands first, and that place."""
+    """(set, to, doc_id, key, line, members): the word hashes, 8 bytes each, of every set that goes to a bucket, read again from the place where it stands first, and that place."""
     wanted = nodes.select(F.col("node").alias("set"), "place.doc_id", "place.key", "place.line").join(goes, "set")
     lists = written(wanted.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_list(F.struct("line", "set", "to")).alias("asked")))
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text).alias("row"), F.col(text).alias("text"))
@@ -240,18 +240,26 @@ def _members(df: DataFrame, nodes: DataFrame, goes: DataFrame, id_col: str, text
         for b in _parts(batches):
             cut = [t.split("\n") for t in b.column(0).to_pylist()]
             sets = _Sets([lines[k] for lines, some in zip(cut, b.column(1).to_pylist(), strict=True) for k in some])
-            ends = pa.array(np.concatenate([sets.starts, [len(sets.hashes)]]).astype(np.int32))
+            ends = 8 * np.concatenate([sets.starts, [len(sets.hashes)]]).astype(np.int32)
+            members = pa.Array.from_buffers(pa.binary(), len(sets.n), [None, pa.py_buffer(ends), pa.py_buffer(sets.hashes)])
             row = pa.array(np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(2).flatten(), b.column(3).flatten(), b.column(4).take(row), b.column(5).take(row), b.column(1).flatten(), pa.ListArray.from_arrays(ends, pa.array(sets.hashes.view(np.int64)))],
+                [b.column(2).flatten(), b.column(3).flatten(), b.column(4).take(row), b.column(5).take(row), b.column(1).flatten(), members],
                 names=["set", "to", "doc_id", "key", "line", "members"],
             )
 
-    out = written(texts.mapInArrow(run, "set long, to array<long>, doc_id long, key long, line int, members array<long>"))
+    out = written(texts.mapInArrow(run, "set long, to array<long>, doc_id long, key long, line int, members binary"))
     dropped(lists, bits)
     return out
 
 
+def _lists(members: pa.BinaryArray) -> pa.ListArray:
+    """The same bytes as lists of whole numbers."""
+    _, ends, data = members.buffers()
+    at = np.frombuffer(ends, dtype=np.int32)[members.offset : members.offset + len(members) + 1] // 8
+    return pa.ListArray.from_arrays(pa.array(at), pa.Array.from_buffers(pa.int64(), data.size // 8, [None, data]))
+
+
 def _reaching(one: np.ndarray, two: np.ndarray, lists: pa.ListArray, at_once: int = WORDS) -> np.ndarray:
     """For pairs of places in lists whether nine times the words in common reach four times the words of both."""
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
@@ -302,7 +310,7 @@ def linked(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text:
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "later": pa.array([], pa.bool_())})
         sets, by = np.unique(right.column("set").to_numpy(), return_index=True)  # repeated rows give a set more than once
         a, b = (np.searchsorted(sets, left.column(c).to_numpy()) for c in ("a", "b"))
-        good = _reaching(by[a], by[b], right.column("members").combine_chunks())
+        good = _reaching(by[a], by[b], _lists(right.column("members").combine_chunks()))
         a, b = a[good], b[good]
         right = right.select(["doc_id", "key", "line"]).take(pa.array(by))
         doc = right.column("doc_id").combine_chunks()
