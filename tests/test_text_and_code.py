@@ -202,3 +202,20 @@ def test_paragraphs_tile_any_text(spark):
         assert "".join(r.content for r in mine) == (text or "")
         assert [r.start for r in mine] == [0, *[r.end for r in mine]][: len(mine)]
     assert [r.content for r in got if r.id == 0] == ["a\0b\n\n", "c"]
+
+
+def test_breadcrumbs_meet_on_cells(spark):
+    rnd = random.Random(3)
+    spans = lambda n, most: [(rnd.choice("fg"), a := rnd.randrange(4000), a + rnd.choice([0, 1, rnd.randrange(70), rnd.randrange(most)])) for _ in range(n)]
+    rows = [(i, f, s, e) for i, (f, s, e) in enumerate(spans(150, 900))] + [(150, "f", 5, 9), (151, "f", 10**7, 10**7 + 4)]
+    around = [(f, a, z, f"t{i}") for i, (f, a, z) in enumerate(sorted(set(spans(80, 3000))))] + [("f", 0, 10**9, "whole")]
+    want = {}
+    for i, f, s, e in rows:
+        met = [(0 if a <= s and z >= e else 1, z - a if a <= s and z >= e else -((min(z, e) - max(a, s)) * 1000 // (e - s)), a, t) for g, a, z, t in around if g == f and a < e and z > s]
+        want[i] = {t for *k, t in met if k == list(min(met)[:3])} or {None}
+    c = spark.createDataFrame(rows, "chunk_id int, file_path string, start_byte long, end_byte long")
+    m = spark.createDataFrame(around, "file string, start_byte long, end_byte long, trail string")
+    got = C.breadcrumbs(c, m).collect()
+    assert len(got) == len(rows) and all(r.breadcrumb in want[r.chunk_id] for r in got)
+    line = lambda a, z: spark.range(3000).select(F.lit("f").alias("file"), (F.col("id") * 50).alias(a), (F.col("id") * 50 + 60).alias(z))
+    assert C.near_ranges(line("_s", "_e"), line("_a", "_z"), "file").count() < 20 * 3000  # of 9 million pairs in the file
