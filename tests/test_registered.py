@@ -50,3 +50,13 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def test_paragraphs_of_odd_texts_agree_with_their_sql(spark, tmp_path):
+    texts = [None, "", "\n", "\n\n", "\n\n\n", "a\n\n\n\nb", "a\n\n\nb. ", "a. . b.  c", "a\r\n\r\nb", "a\n \nb", "a\0\n\nb", "é. ü\n\n", ". ", "x" * 20000 + "\n" * 20001]
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(__spark_entry__.oracle_sql()["paragraphs"]).fetchall()
+    got = __spark_entry__.queries()["paragraphs"](spark, str(tmp_path)).select("doc_id", "pieces").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
