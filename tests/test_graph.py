@@ -79,3 +79,30 @@ def test_implementors(spark, monkeypatch):
 def test_dedup_and_stats(spark):
     e = spark.createDataFrame([("a", "b", 5), ("a", "b", 2), ("b", "b", 1)], "src string, dst string, line int")
     assert sorted(tuple(r) for r in G.dedup_edges(e, "line").collect()) == [("a", "b", 2), ("b", "b", 1)]
+
+
+def rounds(monkeypatch):
+    """Counts the tables that walks write."""
+    written, put = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or put(df))
+    return written
+
+
+def test_cycles_take_few_rounds_on_long_rings_and_chains(spark, monkeypatch):
+    ring = [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)]
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(300)]
+    hung = [("r007", "x1"), ("x1", "x2"), ("x2", "c000"), ("c299", "y1"), ("y1", "y2"), ("y2", "c299"), ("y2", "z")]
+    written = rounds(monkeypatch)
+    got = sorted(tuple(r) for r in G.strong_components(edges(spark, ring + chain + hung), 0).collect())
+    assert got == sorted([(a, "r000") for a, _ in ring] + [(n, "c299") for n in ("c299", "y1", "y2")])
+    assert len(written) < 100
+
+
+def test_components_of_chains_and_branches_agree(spark):
+    rnd = random.Random(8)
+    pairs = {(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(16)}
+    for k, (s, t) in enumerate(sorted(pairs)):
+        if k % 2:
+            pairs = pairs - {(s, t)} | {(s, f"m{k}"), (f"m{k}", f"l{k}"), (f"l{k}", t)}
+    e = edges(spark, sorted(pairs))
+    assert sorted(G.strong_components(e, 0).collect()) == sorted(G.strong_components(e).collect())
