@@ -116,3 +116,14 @@ def test_implementors_of_deep_hierarchies(spark, monkeypatch):
         got = {r.name: r.depth for r in G.implementor_depths(types, "T0", small).collect()}
         assert got == {f"T{i}": i - 1 for i in range(1, 300)} | {"Side": 150, "Both": 151}
     assert len(written) < 60
+
+
+def test_large_graphs_stay_off_the_driver(spark, monkeypatch):
+    e, s = edges(spark, [(f"n{i}", f"n{(7 * i + k) % 400}") for i in range(400) for k in (1, 5)]), nodes(spark, "n0")
+    sent, frame = [], type(e)
+    take = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: [rows := take(self), sent.append(len(rows))][0])
+    seen = G.bfs(e, s, 2, 10)
+    back = G.bfs(e, s, 2, 10, both=True)
+    assert max(sent) <= 10
+    assert sorted(map(tuple, take(seen))) == sorted(map(tuple, take(G.bfs(e, s, 2)))) and sorted(map(tuple, take(back))) == sorted(map(tuple, take(G.bfs(G.undirected(e), s, 2))))
