@@ -136,3 +136,32 @@ def test_chunk_at_and_related(spark):
     depths = spark.createDataFrame([("tests/test_login.py", 1)], "file_path string, depth int")
     (got,) = S.related(rows, 0, depths=depths).collect()
     assert got.chunk_id == 1 and got.score == pytest.approx(1.4 * 0.9 / math.hypot(0.9, 0.1))
+
+
+def counting(spark, name):
+    """A function of texts that gives them back, and the number of texts it has read."""
+    read = spark.sparkContext.accumulator(0)
+    return F.udf(lambda t: (read.add(1), t)[1], "string").asNondeterministic()(name), read
+
+
+def test_searches_read_texts_once(spark):
+    texts = ["def lookup_word(): pass", "lookup word lookup", "class Other: pass", "the word again", "a word of lookup_word"] * 8
+    rows = spark.createDataFrame([(i, t, f"d{i % 7}/f{i}.py", "outline" if i % 4 == 0 else "source") for i, t in enumerate(texts)], "chunk_id long, content string, file_path string, kind string")
+    rows = rows.select("*", F.lit("python").alias("language"), F.lit("c").alias("breadcrumb"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 40, 3)], "chunk_id long, vector array<double>")
+    put, read = counting(spark, "content")
+    plain = S.bm25(rows, "lookup word").orderBy("chunk_id").collect()
+    assert S.bm25(rows.withColumn("content", put), "lookup word").orderBy("chunk_id").collect() == plain and read.value == 40
+    put, read = counting(spark, "content")
+    want = S.search(rows.join(vectors, "chunk_id", "left"), "where is lookup_word", [1.0, 0.5]).collect()
+    got = S.search(rows.withColumn("content", put), "where is lookup_word", [1.0, 0.5], vectors=vectors).collect()
+    assert [(r.chunk_id, round(r.score, 9)) for r in got] == [(r.chunk_id, round(r.score, 9)) for r in want] and want
+    assert read.value <= 80  # once for the counts, once for the pool
+
+
+def test_index_is_read_once(spark):
+    rows = spark.createDataFrame([(i, f"word other{i} lookup") for i in range(40)], "chunk_id long, content string")
+    put, read = counting(spark, "content")
+    once = rows.withColumn("content", put)
+    lengths = once.select("chunk_id", F.size(T.tokens(F.col("content"))).alias("dl"))
+    assert S.bm25_indexed(S.postings(once), lengths, "lookup").count() == 40 and read.value <= 80
