@@ -165,3 +165,14 @@ def test_index_is_read_once(spark):
     once = rows.withColumn("content", put)
     lengths = once.select("chunk_id", F.size(T.tokens(F.col("content"))).alias("dl"))
     assert S.bm25_indexed(S.postings(once), lengths, "lookup").count() == 40 and read.value <= 80
+
+
+def test_only_known_tokens_are_counted(spark):
+    rows = spark.createDataFrame([(1, "a b c a"), (2, "x y"), (3, None), (4, "a " * 5000)], "chunk_id long, content string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "token string, vector array<double>")
+    got = S.embed(rows, vectors, dims=2)
+    length = 13**0.5
+    assert {r.chunk_id: r.vector and [round(x, 9) for x in r.vector] for r in got.collect()} == {1: [round(2 / length, 9), round(3 / length, 9)], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: None}
+    counted = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in counted  # a row for each dimension of each token
+    assert counted.index("Aggregate [chunk_id") < counted.index("LeftSemi")  # the join lies under the count
