@@ -78,32 +78,56 @@ def _replace_common(text: str, pattern: str, first: int, legend: list) -> tuple[
     return re.sub(pattern, lambda m: tags.get(m[0], m[0]), text), first
 
 
+def _best_run(lines: list[list[str]], tag: str, longest: int, must: str | None) -> tuple[int, str, list[str]] | None:
+    """(saved, text, pieces) of the run of 2 to longest pieces within lines whose merging saves most, of equal ones the one with the smaller text.
+
+    A run occurs twice only if both shorter runs in it do, so runs grow by one piece from those that do, and a run is known
+    by the numbers of these two.
+    """
+    flat, room, upto = [p for line in lines for p in line], [left for line in lines for left in range(len(line), 0, -1)], [0]
+    for p in flat:
+        upto.append(upto[-1] + len(p.encode()))
+    number: dict = {}
+    key = {i: number.setdefault(p, len(number)) for i, p in enumerate(flat)}
+    best, top, cost = None, 0, len(tag)
+    for n in range(2, longest + 1):
+        spots: dict = {}
+        for i, k in key.items():
+            if room[i] >= n and (after := key.get(i + 1)) is not None:
+                spots.setdefault((k, after), []).append(i)
+        key = {}
+        for name, where in enumerate(spots.values()):
+            if len(where) > 1:
+                for i in where:
+                    key[i] = name
+                i = where[0]
+                size = upto[i + n] - upto[i]
+                saved = len(where) * (size - cost) - (cost + 3 + size)
+                if saved > 0 and saved >= top:
+                    whole = "".join(flat[i : i + n])
+                    if (must is None or must in whole) and (saved > top or whole < best[1]):
+                        best, top = (saved, whole, flat[i : i + n]), saved
+        if not key:
+            break
+    return best
+
+
 def _merge(lines: list[list[str]], legend: list, tag_of, longest: int, floor: int, must: str | None) -> list[list[str]]:
-    """Greedy merging of runs of pieces within lines, the most saving first, of equal ones the one with the smaller text."""
+    """Greedy merging of runs of pieces within lines, the most saving first."""
     for turn in range(MAX_MERGES):
-        counts: Counter = Counter()
-        for line in lines:
-            for n in range(2, longest + 1):
-                for i in range(len(line) - n + 1):
-                    counts[tuple(line[i : i + n])] += 1
-        tag, best = tag_of(turn), None
-        for gram, n in counts.items():
-            whole = "".join(gram)
-            if n > 1 and (must is None or must in whole):
-                size = len(whole.encode())
-                saved = n * (size - len(tag)) - (len(tag) + 3 + size)
-                if saved > 0 and (best is None or (-saved, whole) < best[:2]):
-                    best = (-saved, whole, gram)
-        if best is None or -best[0] < floor:
+        tag = tag_of(turn)
+        best = _best_run(lines, tag, longest, must)
+        if best is None or best[0] < floor:
             break
         _, whole, gram = best
         legend.append((tag, whole))
+        first, size = gram[0], len(gram)
         for k, line in enumerate(lines):
             out, i = [], 0
             while i < len(line):
-                if tuple(line[i : i + len(gram)]) == gram:
+                if line[i] == first and line[i : i + size] == gram:
                     out.append(tag)
-                    i += len(gram)
+                    i += size
                 else:
                     out.append(line[i])
                     i += 1
@@ -220,7 +244,10 @@ def squeeze(df: DataFrame, doc: str, text: str = "text", lossy: bool = True) ->
                 rows.append((key, body if good else t, [{"tag": a, "value": v} for a, v in legend] if good else [], len(t.encode()), whole if good else len(t.encode()), good))
             yield pd.DataFrame(rows, columns=[doc, "body", "legend", "raw_bytes", "out_bytes", "squeezed"])
 
-    return df.select(doc, text).mapInPandas(run, f"{doc} {kind}, body string, legend array<struct<tag:string,value:string>>, raw_bytes long, out_bytes long, squeezed boolean")
+    # texts are few bytes and much work, so they are dealt to as many tasks as the session has partitions; by a hash of the key, since a
+    # table that is dealt by the key itself would stay as it is, its partitions joined by size
+    spread = df.select(doc, text).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(doc))
+    return spread.mapInPandas(run, f"{doc} {kind}, body string, legend array<struct<tag:string,value:string>>, raw_bytes long, out_bytes long, squeezed boolean")
 
 
 def expand(df: DataFrame, doc: str) -> DataFrame:

@@ -219,3 +219,28 @@ def test_breadcrumbs_meet_on_cells(spark):
     assert len(got) == len(rows) and all(r.breadcrumb in want[r.chunk_id] for r in got)
     line = lambda a, z: spark.range(3000).select(F.lit("f").alias("file"), (F.col("id") * 50).alias(a), (F.col("id") * 50 + 60).alias(z))
     assert C.near_ranges(line("_s", "_e"), line("_a", "_z"), "file").count() < 20 * 3000  # of 9 million pairs in the file
+
+
+def runs_by_counting(lines, tag, longest, must):
+    """The run that saves most, by counting all."""
+    counts = {}
+    for line in lines:
+        for n in range(2, longest + 1):
+            for i in range(len(line) - n + 1):
+                counts[tuple(line[i : i + n])] = counts.get(tuple(line[i : i + n]), 0) + 1
+    saved = {g: n * (len("".join(g).encode()) - len(tag)) - (len(tag) + 3 + len("".join(g).encode())) for g, n in counts.items() if n > 1 and (must is None or must in "".join(g))}
+    return min(((-x, "".join(g), list(g)) for g, x in saved.items() if x > 0), default=None)
+
+
+def test_best_runs_are_those_of_all_counts():
+    rnd = random.Random(5)
+    for k in range(60):
+        lines = [[rnd.choice(["a", "bé", " ", "#1#", "="]) for _ in range(rnd.randrange(25))] for _ in range(rnd.randrange(12))]
+        must, want = (None, "#")[k % 2], None
+        got, want = squeeze._best_run(lines, "#7#", 8, must), runs_by_counting(lines, "#7#", 8, must)
+        assert (got and (-got[0], got[1], got[2])) == want
+
+
+def test_squeezing_is_dealt_to_many_tasks(spark):
+    logs = spark.range(200).groupBy(F.col("id").alias("d")).agg(F.max(F.lit("a text")).alias("text"))
+    assert squeeze.squeeze(logs, "d").select(F.spark_partition_id().alias("p")).distinct().count() == 4
