@@ -448,10 +448,10 @@ def cap_members(decls: DataFrame, cap: int = D.MEMBER_CAP) -> tuple[DataFrame, D
 def find_symbols(decls: DataFrame, symbols: list[str]) -> DataFrame:
     """Declarations of which the last segments of trail and name are a symbol's; headings that contain it, whatever the case."""
     spark = decls.sparkSession
-    wanted = spark.createDataFrame([(s, [p for p in re.split(r"::|\.|#", s) if p]) for s in symbols], "symbol string, segments array<string>")
-    full = F.concat("trail", F.array("name"))
-    suffixes = decls.withColumn("_suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(full)), lambda n: F.slice(full, F.size(full) - n + 1, n))))
-    exact = suffixes.filter("kind <> 'heading'").join(wanted, F.col("_suffix") == F.col("segments")).select("symbol", *decls.columns)
+    wanted = F.broadcast(spark.createDataFrame([(s, [p for p in re.split(r"::|\.|#", s) if p]) for s in symbols], "symbol string, segments array<string>"))  # a row for each symbol
+    full, size = F.concat("trail", F.array("name")), F.size("segments")
+    ends = (F.size(full) >= size) & (F.slice(full, F.greatest(F.lit(1), F.size(full) - size + 1), size) == F.col("segments"))
+    exact = decls.filter("kind <> 'heading'").join(wanted, (F.col("name") == F.get("segments", size - 1)) & ends).select("symbol", *decls.columns)
     heads = decls.filter("kind = 'heading'").join(wanted, F.contains(F.lower("name"), F.lower("symbol"))).select("symbol", *decls.columns)
     return exact.unionByName(heads).dropDuplicates(["symbol", "file", "ord_path"])
 

@@ -244,3 +244,12 @@ def test_best_runs_are_those_of_all_counts():
 def test_squeezing_is_dealt_to_many_tasks(spark):
     logs = spark.range(200).groupBy(F.col("id").alias("d")).agg(F.max(F.lit("a text")).alias("text"))
     assert squeeze.squeeze(logs, "d").select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_symbols_are_found_without_a_row_for_each_suffix(spark):
+    rows = [("a", [1], ["m", "Box"], "open", "method"), ("a", [2], ["Box"], "open", "function"), ("b", [1], [], "open", "function"), ("b", [2], ["x", "open"], "y", "field"), ("c", [1], [], "The Open door", "heading")]
+    decls = spark.createDataFrame(rows, "file string, ord_path array<int>, trail array<string>, name string, kind string")
+    found = code.find_symbols(decls, ["open", "Box::open", "m.Box.open", "z.open", "::"])
+    got = sorted((r.symbol, r.file, r.ord_path[0]) for r in found.collect())
+    assert got == [("Box::open", "a", 1), ("Box::open", "a", 2), ("m.Box.open", "a", 1), ("open", "a", 1), ("open", "a", 2), ("open", "b", 1), ("open", "c", 1)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
